@@ -31,7 +31,7 @@ class PiecePlan:
 
     keys: tuple[str, ...]
     order: str
-    cuts: DataFrame | None = None  # keys, __lo, __hi, __piece; bounded by max_pieces
+    cuts: DataFrame | None = None  # key columns, __lo, __hi, __cut; about max_pieces rows
     width: int | None = None  # fixed-width pieces for every key instead of cuts
 
     @property
@@ -44,12 +44,11 @@ class PiecePlan:
             return df.withColumn(PIECE, F.floor(F.col(self.order) / F.lit(self.width)))
         if self.cuts is None:
             return df.withColumn(PIECE, F.lit(WHOLE).cast("bigint"))
-        cuts = F.broadcast(self.cuts)
-        match = (df[self.order] >= cuts["__lo"]) & (df[self.order] < cuts["__hi"])
-        for key in self.keys:
-            match = match & (df[key] == cuts[key])
-        return df.join(cuts, match, "left").select(
-            df["*"], F.coalesce(cuts[PIECE], F.lit(WHOLE).cast("bigint")).alias(PIECE)
+        match = (F.col(self.order) >= F.col("__lo")) & (F.col(self.order) < F.col("__hi"))
+        for i, key in enumerate(self.keys):
+            match = match & (F.col(key) == F.col(f"__cut_key{i}"))
+        return df.join(F.broadcast(self.cuts), match, "left").select(
+            *df.columns, F.coalesce("__cut", F.lit(WHOLE).cast("bigint")).alias(PIECE)
         )
 
     def only_cut(self, df: DataFrame) -> DataFrame:
@@ -117,8 +116,10 @@ def plan_pieces(
         edges = [MIN_LONG, *sorted(row["__q"]), MAX_LONG]
         values = [row[k] for k in keys]
         rows += [(*values, lo, hi, i) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    extra = [T.StructField(n, T.LongType()) for n in ("__lo", "__hi", PIECE)]
-    cuts = spark.createDataFrame(rows, T.StructType([*schema.fields, *extra]))
+    # Names of its own, so that joining it to any frame is unambiguous.
+    named = [T.StructField(f"__cut_key{i}", f.dataType) for i, f in enumerate(schema.fields)]
+    bounds = [T.StructField(n, T.LongType()) for n in ("__lo", "__hi", "__cut")]
+    cuts = spark.createDataFrame(rows, T.StructType([*named, *bounds]))
     return PiecePlan(keys, order, cuts=cuts)
 
 
@@ -135,7 +136,8 @@ def over_recent_rows(
 
     ``build`` gets the window (partitioned and ordered, without frame) and returns the
     columns; ``needs`` names the columns they read. For cut keys the last ``n`` rows
-    before each piece are added to it ahead of its own rows and dropped afterwards.
+    before each piece are added to it ahead of its own rows and dropped afterwards. That
+    reads the input twice; give it a stored table if it is costly to compute.
     """
     keys, order = list(keys), list(order)
     if plan is None or plan.is_whole:

@@ -93,7 +93,11 @@ def with_block(readings: DataFrame, size: float = DEFAULT_CELL) -> DataFrame:
 
 
 def plan_blocks(readings: DataFrame, size: float = DEFAULT_CELL, **limits: int) -> PiecePlan:
-    """Look for blocks with too many readings for one task and cut them along time."""
+    """Look for blocks with too many readings for one task and cut them along time.
+
+    A task sorts nine rows per reading, hence the lower default target.
+    """
+    limits = {"target_rows": 1_000_000, **limits}
     return plan_pieces(with_block(readings, size), BLOCK, READING_ORDER[0], **limits)
 
 
@@ -152,9 +156,11 @@ def score_spatial(
     if not plan.is_whole:
         sent = sent.unionByName(_carry_rows(plan.only_cut(sent), radius), allowMissingColumns=True)
 
-    # One exchange on (block, piece); the window below is finer, so it needs no other.
+    # One exchange on the block (and piece). The window below is finer, so it needs no
+    # other; a constant piece must stay out of the key for Spark to see that.
+    task = BLOCK if plan.is_whole else [*BLOCK, PIECE]
     spread = (
-        sent.repartition(*BLOCK, PIECE)
+        sent.repartition(*task)
         .withColumn(
             "o",
             F.explode(
@@ -172,8 +178,7 @@ def score_spatial(
         )
         .where(_inside_block("tx", "ty"))
         .select(
-            *BLOCK,
-            PIECE,
+            *task,
             "tx",
             "ty",
             *order,
@@ -183,7 +188,7 @@ def score_spatial(
         )
     )
     running = (
-        Window.partitionBy(*BLOCK, PIECE, "tx", "ty")
+        Window.partitionBy(*task, "tx", "ty")
         .orderBy(*[F.asc_nulls_first(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -231,8 +236,8 @@ def _carry_rows(cut: DataFrame, radius: int) -> DataFrame:
         .groupBy(*BLOCK, PIECE, *CELL)
         .agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
     )
-    # A piece may hold readings in a cell whose earlier totals sit in any older piece, so
-    # each total is sent to every later piece up to the next one that has its own total.
+    # A reading always counts in its own cell, so a piece with readings to score in a cell
+    # has a total for it, and carrying each running total to the next one is enough.
     by_cell = Window.partitionBy(*BLOCK, *CELL).orderBy(PIECE)
     total = by_cell.rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -243,8 +248,6 @@ def _carry_rows(cut: DataFrame, radius: int) -> DataFrame:
                 "__next": F.lead(PIECE).over(by_cell),
             }
         )
-        # A cell's own readings put a total into their own piece, so carrying to the
-        # next total of the same cell reaches every piece that will be read.
         .where(F.col("__next").isNotNull())
         .select(
             *BLOCK,

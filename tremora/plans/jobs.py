@@ -12,6 +12,7 @@ from tremora.operators.quality import filter_valid
 from tremora.operators.scaling import PRODUCTION, Policy, alerts, recommend, retain
 from tremora.operators.spatial import score_spatial, spatial_anomaly
 from tremora.operators.windows import SECOND_MS, window_agg
+from tremora.session import stored
 from tremora.sinks.text import format_agg, format_record
 from tremora.sources.payloads import decode_payloads, split_decoded
 
@@ -44,7 +45,10 @@ def last_kept_aggregate(
 ) -> DataFrame:
     """Deduplicated against the last kept reading, aggregated, compared with history."""
     kept = dedup_last_kept(filter_valid(readings), plan=plan, **thresholds)
-    scored = with_history(window_agg(kept, size_ms), history, history_plan)
+    aggregates = window_agg(kept, size_ms)
+    if history_plan:
+        aggregates = stored(aggregates, "aggregates")
+    scored = with_history(aggregates, history, history_plan)
     return format_agg(scored, with_noise=False)
 
 
@@ -59,6 +63,8 @@ def last_kept_spatial(
 ) -> DataFrame:
     """The spatial side of the same job: scores of kept readings among kept readings."""
     kept = dedup_last_kept(filter_valid(readings), plan=plan, **thresholds)
+    if block_plan and not block_plan.is_whole:
+        kept = stored(kept, "kept")
     scored = score_spatial(kept, size, radius, block_plan)
     return scored.withColumn("is_spatial_anomaly", spatial_anomaly(threshold))
 

@@ -300,6 +300,7 @@ def oracles() -> dict[str, str]:
             min_amplitude, p_phase_count, s_phase_count, n_phase_count) AS csv FROM agg""",
         # history
         "history_baseline": history_sql,
+        "history_baseline_split": history_sql,
         "history_max": history + "SELECT sensor_id, window_start_ts, history_max FROM history",
         "last_windows": agg
         + """SELECT * FROM (SELECT sensor_id, window_start_ts,
@@ -307,6 +308,7 @@ def oracles() -> dict[str, str]:
               row_number() OVER (PARTITION BY sensor_id ORDER BY window_start_ts DESC) AS age_rank
             FROM agg) WHERE age_rank <= 3""",
         "window_step_deviation": step_sql,
+        "window_step_deviation_split": step_sql,
         "temporal_scores": temporal + f"SELECT {temporal_columns} FROM temporal",
         "temporal_anomalies": temporal
         + f"""SELECT {temporal_columns} FROM temporal

@@ -17,7 +17,7 @@ from tremora.operators.chunks import calendar_pieces, plan_pieces
 from tremora.operators.windows import DAY_MS, window_agg
 from tremora.plans import jobs
 from tremora.schemas import AGGREGATE, READING
-from tremora.session import shared_folder
+from tremora.session import shared_folder, stored
 from tremora.sinks.text import agg_to_csv, format_agg
 from tremora.sources import events, metrics, payloads
 from tremora.sources.readings import read_bounded
@@ -35,7 +35,7 @@ POLICY = scaling.Policy(
     rate_high=3000, rate_low=800, cpu_high=0.8, cpu_low=0.5, duration=21_600
 )
 SPLIT = {"target_rows": 25}  # rows a key may have before it is cut, in *_split queries
-# Sensor histories are worked on ten windows of a day at a time.
+# Sensor histories cut every ten days.
 HISTORY_PIECES = calendar_pieces(["sensor_id"], "window_start_ts", 10 * DAY_MS)
 
 
@@ -52,7 +52,7 @@ def _agg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return history.with_history(_agg(spark, sf), 10, HISTORY_PIECES)
+    return history.with_history(_agg(spark, sf), 10)
 
 
 def _temporal(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +84,8 @@ def _change_info(spark: SparkSession, sf: str, **limits: int) -> DataFrame:
     valid = _valid(spark, sf)
     plan = _sensor_plan(valid, **limits)
     kept = dedup.dedup_last_kept(valid, **LAST_KEPT, plan=plan)
+    if not plan.is_whole:
+        kept = stored(kept, "kept")
     return dedup.with_change_info(kept, plan).select(
         "sensor_id",
         "event_id",
@@ -118,6 +120,11 @@ def _score_output(scored: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _history_output(scored: DataFrame) -> DataFrame:
+    columns = ["avg_amplitude", "history_avg", "deviation"]
+    return rounded(scored.select("sensor_id", "window_start_ts", *columns), *columns)
+
+
 def _temporal_output(scored: DataFrame) -> DataFrame:
     return rounded(
         scored.select(
@@ -274,13 +281,9 @@ def registered() -> dict[str, Query]:
         "agg_csv": lambda s, d: agg_to_csv(
             _agg(s, d).withColumn("avg_amplitude", F.col("avg_amplitude").cast("decimal(18,3)"))
         ).select("sensor_id", "window_start_ts", "csv"),
-        "history_baseline": lambda s, d: rounded(
-            _history(s, d).select(
-                "sensor_id", "window_start_ts", "avg_amplitude", "history_avg", "deviation"
-            ),
-            "avg_amplitude",
-            "history_avg",
-            "deviation",
+        "history_baseline": lambda s, d: _history_output(_history(s, d)),
+        "history_baseline_split": lambda s, d: _history_output(
+            history.with_history(stored(_agg(s, d), "aggregates"), 10, HISTORY_PIECES)
         ),
         "history_max": lambda s, d: _history(s, d).select(
             "sensor_id", "window_start_ts", "history_max"
@@ -292,7 +295,13 @@ def registered() -> dict[str, Query]:
             "avg_amplitude",
         ),
         "window_step_deviation": lambda s, d: rounded(
-            history.with_step_deviation(_agg(s, d), HISTORY_PIECES).select(
+            history.with_step_deviation(_agg(s, d)).select(
+                "sensor_id", "window_start_ts", "step_deviation"
+            ),
+            "step_deviation",
+        ),
+        "window_step_deviation_split": lambda s, d: rounded(
+            history.with_step_deviation(stored(_agg(s, d), "aggregates"), HISTORY_PIECES).select(
                 "sensor_id", "window_start_ts", "step_deviation"
             ),
             "step_deviation",
@@ -395,7 +404,6 @@ def last_kept_aggregate(spark: SparkSession, sf: str) -> DataFrame:
         events.readings(spark, sf),
         DAY_MS,
         plan=_sensor_plan(_valid(spark, sf)),
-        history_plan=HISTORY_PIECES,
         **LAST_KEPT,
     )
     return rounded(
