@@ -149,3 +149,17 @@ def test_sustained_slices_equal_one_slice(spark, data_dir):
     large = scaling.sustained(metrics, rules, 21_600, slice_seconds=10**9)
     assert small.where("high").count() > 0
     assert small.exceptAll(large).count() == 0 == large.exceptAll(small).count()
+
+
+def test_spatial_sums_cross_arrow_batches(spark, skewed):
+    whole = spatial.score_spatial(skewed).select("event_id", "neighbourhood_avg").collect()
+    plan = spatial.plan_blocks(skewed, target_rows=300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        for chosen in (None, plan):
+            batched = spatial.score_spatial(skewed, plan=chosen)
+            got = dict(batched.select("event_id", "neighbourhood_avg").collect())
+            assert all(got[r[0]] == pytest.approx(r[1], abs=1e-9) for r in whole)
+            assert len(got) == len(whole)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

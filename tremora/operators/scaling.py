@@ -103,22 +103,33 @@ def sustained(
     seconds before it, so a job that wrote most of the samples is no single task.
     """
     width = max(slice_seconds, duration + 1)
-    own = F.floor(F.col("ts") / F.lit(width))
     until = F.floor((F.col("ts") + F.lit(duration)) / F.lit(width))
-    span = (
-        Window.partitionBy(by, "__slice").orderBy("ts").rangeBetween(-duration, Window.currentRow)
+    job = Window.partitionBy(by, "__slice").orderBy("ts")
+    so_far = job.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = F.col("ts") - F.lit(duration)
+
+    # Looking back over the span for every sample would cost its length each time. "All
+    # samples in the span hold" is the same as "the last that does not lies before it",
+    # and "at least n" as "the n-th last lies in it"; both are running maxima.
+    def last_breach(condition: Column) -> Column:
+        return F.max(F.when(~F.coalesce(condition, F.lit(False)), F.col("ts"))).over(so_far)
+
+    breaches = {f"__breach_{name}": last_breach(c) for name, c in conditions.items()}
+    sliced = (
+        metrics.withColumn("__own", F.floor(F.col("ts") / F.lit(width)))
+        .withColumn("__slice", F.explode(F.sequence("__own", until)))
+        .withColumns({"__nth": F.lag("ts", min_samples - 1).over(job), **breaches})
+        .withColumn("__nth", F.max("__nth").over(so_far))
     )
-    enough = F.count(F.lit(1)).over(span) >= min_samples
-
-    def held(condition: Column) -> Column:
-        return enough & (F.count_if(~F.coalesce(condition, F.lit(False))).over(span) == 0)
-
+    enough = F.coalesce(F.col("__nth") >= since, F.lit(False))
+    held = {
+        name: enough & F.coalesce(F.col(f"__breach_{name}") < since, F.lit(True))
+        for name in conditions
+    }
     return (
-        metrics.withColumn("__own", own)
-        .withColumn("__slice", F.explode(F.sequence("__own", until)))
-        .withColumns({name: held(condition) for name, condition in conditions.items()})
+        sliced.withColumns(held)
         .where(F.col("__slice") == F.col("__own"))
-        .drop("__slice", "__own")
+        .drop("__slice", "__own", "__nth", *breaches)
     )
 
 

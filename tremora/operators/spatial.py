@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremora.functions.grid import DEFAULT_CELL, cell_key, cell_x, cell_y, offsets
-from tremora.operators.chunks import PIECE, WHOLE, PiecePlan, plan_pieces
+from tremora.operators.chunks import PIECE, PiecePlan, plan_pieces
 from tremora.schemas import READING_ORDER
 
 CELL = ["gx", "gy"]
 BLOCK = ["bx", "by"]
 BLOCK_CELLS = 16  # cells along one side of a block
+SUM, COUNT, HOME = "__sum", "__n", "__home"
 
 
 def with_cell(readings: DataFrame, size: float = DEFAULT_CELL) -> DataFrame:
@@ -93,11 +100,7 @@ def with_block(readings: DataFrame, size: float = DEFAULT_CELL) -> DataFrame:
 
 
 def plan_blocks(readings: DataFrame, size: float = DEFAULT_CELL, **limits: int) -> PiecePlan:
-    """Look for blocks with too many readings for one task and cut them along time.
-
-    A task sorts nine rows per reading, hence the lower default target.
-    """
-    limits = {"target_rows": 1_000_000, **limits}
+    """Look for blocks with too many readings for one task and cut them along time."""
     return plan_pieces(with_block(readings, size), BLOCK, READING_ORDER[0], **limits)
 
 
@@ -114,8 +117,9 @@ def score_spatial(
 
     A reading contributes to (2r+1)^2 cells. Sending it to each of them through the
     exchange would multiply the shuffle by nine, so readings travel to blocks of
-    16 x 16 cells instead (1.27 copies on average) and are spread over cells inside the
-    task. ``plan`` (from plan_blocks) cuts busy blocks into time pieces; each piece
+    16 x 16 cells instead (1.27 copies on average; a copy outside its own block carries
+    the amplitude only). A block's readings then stream in order past running sums per
+    cell. ``plan`` (from plan_blocks) cuts busy blocks into time pieces; each piece
     starts with one carry row per cell that holds the sum and count of all earlier
     pieces.
     """
@@ -124,88 +128,124 @@ def score_spatial(
     order = list(READING_ORDER)
     side = F.lit(BLOCK_CELLS)
     columns = readings.columns
-    located = with_cell(readings, size)
 
     def blocks(axis: str) -> Column:
         first = F.floor((F.col(axis) - F.lit(radius)) / side)
         last = F.floor((F.col(axis) + F.lit(radius)) / side)
         return F.explode(F.sequence(first, last))
 
+    home = (F.col("bx") == F.floor(F.col("gx") / side)) & (
+        F.col("by") == F.floor(F.col("gy") / side)
+    )
     sent = (
-        located.withColumn("__reading", F.struct(*columns))
-        .select(*CELL, *order, "seismic_amplitude", "__reading")
+        with_cell(readings, size)
         .withColumn("bx", blocks("gx"))
         .withColumn("by", blocks("gy"))
-        .withColumn(
-            "__at_home",
-            (F.col("bx") == F.floor(F.col("gx") / side))
-            & (F.col("by") == F.floor(F.col("gy") / side)),
-        )
+        .withColumn(HOME, home)
     )
     plan = plan or PiecePlan(tuple(BLOCK), order[0])
+    payload = [c for c in columns if c not in order]
     sent = plan.assign(sent).select(
         *BLOCK,
         PIECE,
         *CELL,
         *order,
-        F.col("seismic_amplitude").cast("double").alias("__sum"),
-        F.lit(1).cast("bigint").alias("__n"),
-        F.when(F.col("__at_home"), F.col("__reading")).alias("__reading"),
-        F.lit(False).alias("__carry"),
+        F.col("seismic_amplitude").cast("double").alias(SUM),
+        F.lit(1).cast("bigint").alias(COUNT),
+        HOME,
+        *[F.when(F.col(HOME), F.col(c)).alias(c) for c in payload],
     )
     if not plan.is_whole:
         sent = sent.unionByName(_carry_rows(plan.only_cut(sent), radius), allowMissingColumns=True)
 
-    # One exchange on the block (and piece). The window below is finer, so it needs no
-    # other; a constant piece must stay out of the key for Spark to see that.
     task = BLOCK if plan.is_whole else [*BLOCK, PIECE]
-    spread = (
-        sent.repartition(*task)
-        .withColumn(
-            "o",
-            F.explode(
-                F.when(F.col("__carry"), offsets(0, with_centre=True)).otherwise(
-                    offsets(radius, with_centre=True)
-                )
-            ),
-        )
-        .withColumns(
-            {
-                "tx": F.col("gx") + F.col("o.dx"),
-                "ty": F.col("gy") + F.col("o.dy"),
-                "__own": (F.col("o.dx") == 0) & (F.col("o.dy") == 0),
-            }
-        )
-        .where(_inside_block("tx", "ty"))
-        .select(
-            *task,
-            "tx",
-            "ty",
-            *order,
-            "__sum",
-            "__n",
-            F.when(F.col("__own"), F.col("__reading")).alias("__reading"),
-        )
+    ordered = sent.repartition(*task).sortWithinPartitions(
+        *BLOCK, PIECE, *[F.asc_nulls_first(c) for c in order]
     )
-    running = (
-        Window.partitionBy(*task, "tx", "ty")
-        .orderBy(*[F.asc_nulls_first(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0)
+    schema = T.StructType(
+        [*readings.schema.fields, T.StructField("neighbourhood_avg", T.DoubleType())]
     )
     average = F.col("neighbourhood_avg")
-    amplitude = F.col("seismic_amplitude").cast("double")
-    return (
-        spread.withColumn(
-            "neighbourhood_avg", F.sum("__sum").over(running) / F.sum("__n").over(running)
-        )
-        .where(F.col("__reading").isNotNull())
-        .select("__reading.*", "neighbourhood_avg")
-        .withColumn(
-            "spatial_ratio", F.when(average > 0, amplitude / average).otherwise(F.lit(0.0))
-        )
+    return ordered.mapInArrow(_running_means(columns, radius), schema).withColumn(
+        "spatial_ratio",
+        F.when(average > 0, F.col("seismic_amplitude").cast("double") / average).otherwise(
+            F.lit(0.0)
+        ),
     )
 
 
+def _running_means(columns: list[str], radius: int):
+    """Means over rows sorted by (block, piece, time, id), vectorised per Arrow batch.
+
+    Each row is spread over the cells it counts in and summed up per cell in row order.
+    Between batches only the sums of the block in progress are kept: one number pair per
+    cell. HOME is true for a reading to score, false for a copy, NULL for a carry row,
+    which already is a total and stays in its cell.
+    """
+    side = BLOCK_CELLS
+    span = np.arange(-radius, radius + 1)
+    dx, dy = (d.ravel() for d in np.meshgrid(span, span, indexing="ij"))
+    centre = len(dx) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sums, counts = None, np.zeros(side * side), np.zeros(side * side)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.column_stack([batch.column(c).to_numpy() for c in (*BLOCK, PIECE)])
+            home = batch.column(HOME)
+            carry = home.is_null().to_numpy(zero_copy_only=False)
+            scored = home.fill_null(False).to_numpy(zero_copy_only=False)
+
+            starts = np.append(True, (group[1:] != group[:-1]).any(axis=1))
+            runs = np.cumsum(starts) - 1
+            first, last = tuple(group[0]), tuple(group[-1])
+            if first != current:
+                sums, counts = np.zeros(side * side), np.zeros(side * side)
+
+            # Targets of each row, row by row, so that every cell sees rows in order.
+            tx = (batch.column("gx").to_numpy() - group[:, 0] * side)[:, None] + dx
+            ty = (batch.column("gy").to_numpy() - group[:, 1] * side)[:, None] + dy
+            inside = (tx >= 0) & (tx < side) & (ty >= 0) & (ty < side)
+            inside[carry] = False
+            inside[carry, centre] = True
+            cell = (runs[:, None] * side * side + tx * side + ty)[inside]
+            repeats = inside.sum(axis=1)
+            by_cell = pd.DataFrame(
+                {
+                    SUM: np.repeat(batch.column(SUM).to_numpy(), repeats),
+                    COUNT: np.repeat(batch.column(COUNT).to_numpy().astype("float64"), repeats),
+                }
+            ).groupby(cell, sort=False)
+            running = by_cell.cumsum()
+            totals = by_cell.sum()
+
+            # Where each scored row meets its own cell, and what earlier batches left there.
+            own = np.zeros(inside.shape, bool)
+            own[scored, centre] = True
+            at = own[inside]
+            own_cell = cell[at]
+            total, n = running[SUM].to_numpy()[at], running[COUNT].to_numpy()[at]
+            goes_on = own_cell < side * side
+            total[goes_on] += sums[own_cell[goes_on]]
+            n[goes_on] += counts[own_cell[goes_on]]
+
+            # Keep the sums of the last block for the next batch.
+            offset = runs[-1] * side * side
+            if offset:
+                sums, counts = np.zeros(side * side), np.zeros(side * side)
+            codes = totals.index.to_numpy()
+            in_last = codes >= offset
+            sums[codes[in_last] - offset] += totals[SUM].to_numpy()[in_last]
+            counts[codes[in_last] - offset] += totals[COUNT].to_numpy()[in_last]
+            current = last
+
+            output = batch.select(columns).filter(pa.array(scored))
+            yield output.append_column("neighbourhood_avg", pa.array(total / n))
+
+    return run
+
+
 def spatial_anomaly(threshold: float = 0.5) -> Column:
     """Well above the neighbourhood mean; low values are not anomalies here."""
     return F.col("spatial_ratio") > 1 + threshold
@@ -226,37 +266,28 @@ def _inside_block(x: str, y: str) -> Column:
 def _carry_rows(cut: DataFrame, radius: int) -> DataFrame:
     """Per cut block, piece and cell: sum and count over the cell's neighbourhood in all
     earlier pieces. At most 256 rows per piece, however many readings there are."""
-    per_cell = cut.groupBy(*BLOCK, PIECE, *CELL).agg(
-        F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n")
+    totals = [F.sum(SUM).alias(SUM), F.sum(COUNT).alias(COUNT)]
+    side = F.lit(BLOCK_CELLS)
+    inside = (F.floor(F.col("gx") / side) == F.col("bx")) & (
+        F.floor(F.col("gy") / side) == F.col("by")
     )
     per_target = (
-        per_cell.withColumn("o", F.explode(offsets(radius, with_centre=True)))
+        cut.groupBy(*BLOCK, PIECE, *CELL)
+        .agg(*totals)
+        .withColumn("o", F.explode(offsets(radius, with_centre=True)))
         .withColumns({"gx": F.col("gx") + F.col("o.dx"), "gy": F.col("gy") + F.col("o.dy")})
-        .where(_inside_block("gx", "gy"))
+        .where(inside)
         .groupBy(*BLOCK, PIECE, *CELL)
-        .agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
+        .agg(*totals)
     )
     # A reading always counts in its own cell, so a piece with readings to score in a cell
     # has a total for it, and carrying each running total to the next one is enough.
     by_cell = Window.partitionBy(*BLOCK, *CELL).orderBy(PIECE)
-    total = by_cell.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_cell.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        per_target.withColumns(
-            {
-                "__sum": F.sum("__sum").over(total),
-                "__n": F.sum("__n").over(total),
-                "__next": F.lead(PIECE).over(by_cell),
-            }
-        )
-        .where(F.col("__next").isNotNull())
-        .select(
-            *BLOCK,
-            F.col("__next").alias(PIECE),
-            *CELL,
-            "__sum",
-            "__n",
-            F.lit(True).alias("__carry"),
-        )
+        per_target.withColumns({SUM: F.sum(SUM).over(before), COUNT: F.sum(COUNT).over(before)})
+        .where(F.col(COUNT).isNotNull())
+        .select(*BLOCK, PIECE, *CELL, SUM, COUNT, F.lit(None).cast("boolean").alias(HOME))
     )
 
 
