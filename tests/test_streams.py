@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tremora.operators import dedup, quality, spatial
 from tremora.operators.windows import DAY_MS, window_agg
 from tremora.schemas import AGGREGATE
-from tremora.sinks.streams import to_csv_files, to_memory
+from tremora.sinks.streams import to_console, to_csv_files, to_memory
+from tremora.sinks.text import format_agg
 from tremora.sources import events
 from tremora.sources.readings import read_stream
-from tremora.streaming import runner, stateful
+from tremora.streaming import jobs, runner, stateful
 from tremora.streaming.windows import window_agg_stream
 
 FILES = 4
@@ -91,23 +92,25 @@ def test_windows_by_change_log_are_whole(spark, folder, valid, tmp_path):
     assert as_set(current.select(columns)) == as_set(batch.select(columns))
 
 
-def test_append_windows_are_a_subset(spark, folder, valid, tmp_path):
-    """In append mode the windows behind the watermark are written, the last ones stay open."""
-    stream = window_agg_stream(read_stream(spark, folder, 1), "1 day", "1 hour")
+@pytest.mark.parametrize("job", ["plain", "first seen", "last kept"])
+def test_composed_jobs_in_one_query(spark, folder, valid, tmp_path, job):
+    readings, first_seen = read_stream(spark, folder, 1), (20.0, 864_000_000)
+    names = ["amplitude_threshold", "gap_ms", "ttl_ms"]
+    if job == "plain":
+        stream = jobs.filter_aggregate_stream(readings, "1 day", "1 hour")
+        kept = valid
+    elif job == "first seen":
+        limits = dict(zip(names, first_seen))
+        stream = jobs.first_seen_aggregate_stream(readings, "1 day", "1 hour", **limits)
+        kept = dedup.dedup_first_seen(valid, *first_seen)
+    else:
+        limits = dict(zip(names, LAST_KEPT))
+        stream = jobs.last_kept_aggregate_stream(readings, "1 day", "1 hour", **limits)
+        kept = dedup.dedup_last_kept(valid, *LAST_KEPT)
     out, _ = run(spark, stream, tmp_path, "out")
-    columns = [c for c in AGGREGATE.fieldNames() if c != "avg_amplitude"]
-    got, batch = set(as_set(out.select(columns))), set(as_set(window_agg(valid, DAY_MS).select(columns)))
-    assert got < batch and len(got) > 0.9 * len(batch)
-
-
-def test_dedup_and_windows_in_one_query(spark, folder, valid, tmp_path):
-    kept = stateful.dedup_last_kept_stream(
-        read_stream(spark, folder, 1), *LAST_KEPT, delay="1 hour"
-    )
-    out, _ = run(spark, window_agg_stream(kept, "1 day"), tmp_path, "out")
-    columns = [c for c in AGGREGATE.fieldNames() if c != "avg_amplitude"]
-    batch = window_agg(dedup.dedup_last_kept(valid, *LAST_KEPT), DAY_MS).select(columns)
-    got = set(as_set(out.select(columns)))
+    # The windows behind the watermark are written, the last ones stay open.
+    batch = format_agg(window_agg(kept, DAY_MS), with_noise=job != "last kept").select("line")
+    got = set(as_set(out.select("line")))
     assert got < set(as_set(batch)) and len(got) > 0.9 * batch.count()
 
 
@@ -148,3 +151,15 @@ def test_progress_carries_stage_counts(spark, folder, valid, tmp_path):
     stages = runner.throughput(query)
     assert stages["input_records"] == stages["read_records"] == valid.count()
     assert stages["p_waves_records"] == valid.where("phase_type = 'P'").count()
+
+
+def test_console(spark, folder, capfd):
+    query = to_console(read_stream(spark, folder).select("sensor_id")).trigger(availableNow=True)
+    query.start().awaitTermination()
+    printed = ""
+    for _ in range(40):  # the JVM's output arrives a little later
+        printed += capfd.readouterr().out
+        if "|sensor_" in printed:
+            break
+        time.sleep(0.25)
+    assert "|sensor_" in printed

@@ -43,3 +43,16 @@ def reject_counts(readings: DataFrame) -> DataFrame:
 
 def with_critical(readings: DataFrame, threshold: float = CRITICAL_AMPLITUDE) -> DataFrame:
     return readings.withColumn("is_critical", F.col("seismic_amplitude") > threshold)
+
+
+def stage_counts(readings: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Readings read, valid and kept, one row per stage.
+
+    ``flagged`` are the valid readings with is_duplicate (see operators.dedup).
+    """
+    valid = reduce(lambda a, b: a & b, validity_rules().values())
+    counted = readings.agg(
+        F.count(F.lit(1)).alias("read"), F.count_if(valid).alias("valid")
+    ).selectExpr("stack(2, 'read', read, 'valid', valid) AS (stage, records)")
+    kept = flagged.agg(F.count_if(~F.col("is_duplicate")).alias("records"))
+    return counted.unionByName(kept.select(F.lit("kept").alias("stage"), "records"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tremora.operators.chunks import PiecePlan
 from tremora.operators.dedup import dedup_first_seen, dedup_last_kept
@@ -69,8 +68,8 @@ def last_kept_spatial(
     return scored.withColumn("is_spatial_anomaly", spatial_anomaly(threshold))
 
 
-def scaling_alerts(metrics: DataFrame, now: int, policy: Policy = PRODUCTION, **slicing: int) -> DataFrame:
+def scaling_alerts(
+    metrics: DataFrame, now: int, policy: Policy = PRODUCTION, **slicing: int
+) -> DataFrame:
     """Recent metrics, debounced, turned into recommendations, one alert per change."""
-    return alerts(recommend(retain(metrics, now), policy, **slicing)).orderBy(
-        F.col("ts"), F.col("job_id")
-    )
+    return alerts(recommend(retain(metrics, now), policy, **slicing))

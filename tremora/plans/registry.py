@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.operators import dedup, history, quality, ranking, scaling, spatial
@@ -245,20 +245,6 @@ def stream_last_kept_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_current(spark, stream, "stream-kept-agg"), "avg_amplitude")
 
 
-def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows read, valid and kept, counted by observers while the job runs once."""
-    read, valid, kept = Observation(), Observation(), Observation()
-    all_readings = runner.observe_stage(events.readings(spark, sf), read)
-    valid_readings = runner.observe_stage(quality.filter_valid(all_readings), valid)
-    job = runner.observe_stage(dedup.dedup_last_kept(valid_readings, **LAST_KEPT), kept)
-    job.write.format("noop").mode("overwrite").save()
-    stages = [("read", read), ("valid", valid), ("kept", kept)]
-    return spark.createDataFrame(
-        [(name, observer.get["records"]) for name, observer in stages],
-        "stage string, records bigint",
-    )
-
-
 def registered() -> dict[str, Query]:
     queries: dict[str, Query] = {
         "payload_roundtrip": payload_roundtrip,
@@ -342,7 +328,9 @@ def registered() -> dict[str, Query]:
         "dedup_stats": lambda s, d: rounded(dedup.dedup_stats(_flagged(s, d)), "skip_percent"),
         "change_info": _change_info,
         "change_info_split": lambda s, d: _change_info(s, d, **SPLIT),
-        "active_sensors": lambda s, d: dedup_active(s, d),
+        "active_sensors": lambda s, d: ranking.active_sensors(
+            _valid(s, d), 1_705_708_800_000, 21_600_000
+        ),
         "kth_access": lambda s, d: ranking.kth_access(_valid(s, d)),
         "access_frequency": lambda s, d: rounded(
             ranking.access_frequency(_valid(s, d), AS_OF), "frequency", places=9
@@ -365,7 +353,7 @@ def registered() -> dict[str, Query]:
         "scaling_alerts": lambda s, d: jobs.scaling_alerts(
             events.metrics(s, d), NOW, POLICY
         ).select("sample_id", "job_id", "ts", "alert"),
-        "stage_counts": stage_counts,
+        "stage_counts": lambda s, d: quality.stage_counts(events.readings(s, d), _flagged(s, d)),
         "filter_aggregate": lambda s, d: jobs.filter_aggregate(
             events.readings(s, d), DAY_MS
         ).select("sensor_id", "window_start_ts", "line"),
@@ -384,10 +372,6 @@ def registered() -> dict[str, Query]:
     return queries
 
 
-def dedup_active(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.active_sensors(_valid(spark, sf), 1_705_708_800_000, 21_600_000)
-
-
 def sustained_threshold(spark: SparkSession, sf: str) -> DataFrame:
     conditions = {
         "rate_high": F.col("throughput") > POLICY.rate_high,

@@ -89,7 +89,9 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def observe_stage(df: DataFrame, stage: str | Observation) -> DataFrame:
     """Count the rows that pass here while the job runs.
 
-    With a name, a stream reports it under observedMetrics of its progress.
+    With a name, a stream reports it under observedMetrics of its progress. For watching
+    a job: rows of a task that had to run again are counted again. Use
+    operators.quality.stage_counts for exact numbers.
     """
     return df.observe(stage, F.count(F.lit(1)).alias("records"))
 

@@ -41,9 +41,7 @@ class LastKept(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         threshold, gap_ms, ttl_ms = self.limits
         near = close_amplitude(threshold)
-        amp = ts = created = None
-        if self.baseline.exists():
-            amp, ts, created = self.baseline.get()
+        amp, ts, created = self.baseline.get() or (None, None, None)
         frame = in_order(rows)
         kept = []
         for t, a in zip(frame[TS].tolist(), frame["seismic_amplitude"].tolist()):
@@ -73,11 +71,12 @@ class FirstSeen(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = in_order(rows)
-        fresh = not self.first.exists()
+        first = self.first.get()
+        fresh = first is None
         if fresh:
-            start = frame.iloc[0]
-            self.first.update((float(start["seismic_amplitude"]), int(start[TS])))
-        amp, ts = self.first.get()
+            first = (float(frame["seismic_amplitude"].iloc[0]), int(frame[TS].iloc[0]))
+            self.first.update(first)
+        amp, ts = first
         change = (frame["seismic_amplitude"] - pd.Series(amp, frame.index, "float32")).abs()
         near = (change.astype("float64") < self.amplitude_threshold) & (
             (frame[TS] - ts).abs() < self.gap_ms
@@ -97,7 +96,7 @@ class CellMean(StatefulProcessor):
         self.totals = handle.getValueState("totals", "n bigint, total double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self.totals.get() if self.totals.exists() else (0, 0.0)
+        n, total = self.totals.get() or (0, 0.0)
         frame = in_order(rows)
         sums = frame["seismic_amplitude"].astype("float64").cumsum() + total
         counts = pd.RangeIndex(n + 1, n + 1 + len(frame))
@@ -121,19 +120,20 @@ def dedup_last_kept_stream(
     With ``delay`` the output carries ``event_time`` under a watermark, so that
     window_agg_stream can follow in the same query.
     """
-    processor = LastKept(amplitude_threshold, gap_ms, ttl_ms)
-    if delay is None:
-        return _stateful(readings, ["sensor_id"], processor, readings.schema)
-    timed = readings.withColumn("event_time", event_time()).withWatermark("event_time", delay)
-    return _stateful(timed, ["sensor_id"], processor, timed.schema, "EventTime", "event_time")
+    return _per_sensor(readings, LastKept(amplitude_threshold, gap_ms, ttl_ms), delay)
 
 
 def dedup_first_seen_stream(
-    readings: DataFrame, amplitude_threshold: float = 0.01, gap_ms: int = 500
+    readings: DataFrame,
+    amplitude_threshold: float = 0.01,
+    gap_ms: int = 500,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Stream form of dedup_first_seen: the first reading to arrive is the baseline."""
-    processor = FirstSeen(amplitude_threshold, gap_ms)
-    return _stateful(readings, ["sensor_id"], processor, readings.schema)
+    """Stream form of dedup_first_seen: the first reading to arrive is the baseline.
+
+    ``delay`` as in dedup_last_kept_stream.
+    """
+    return _per_sensor(readings, FirstSeen(amplitude_threshold, gap_ms), delay)
 
 
 def score_spatial_stream(
@@ -162,6 +162,13 @@ def score_spatial_stream(
     )
 
 
+def _per_sensor(readings: DataFrame, processor: StatefulProcessor, delay: str | None) -> DataFrame:
+    if delay is None:
+        return _stateful(readings, ["sensor_id"], processor, readings.schema)
+    timed = readings.withColumn("event_time", event_time()).withWatermark("event_time", delay)
+    return _stateful(timed, ["sensor_id"], processor, timed.schema, "EventTime", "event_time")
+
+
 def _stateful(
     df: DataFrame,
     keys: list[str],
