@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,38 +85,149 @@ def decode_payloads(payloads: DataFrame) -> DataFrame:
         [*others, *SENSOR_FIELDS, T.StructField("decode_error", T.StringType())]
     )
     passed = [f.name for f in others]
+    names = [*passed, *(name for name, _, _ in READING_WIRE), "decode_error"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from google.protobuf.message import DecodeError
-
-        reading = message_class("Reading")()
-        names = [name for name, _, _ in READING_WIRE]
         for batch in batches:
-            columns = {name: [] for name in names}
-            appends = [(name, columns[name].append) for name in names]
-            errors = []
-            for payload in batch.column("payload").to_pylist():
-                try:
-                    if payload is None:
-                        raise DecodeError("no payload")
-                    reading.Clear()
-                    reading.MergeFromString(payload)
-                    for name, append in appends:
-                        append(getattr(reading, name))
-                    errors.append(None)
-                except DecodeError as error:
-                    for _, append in appends:
-                        append(None)
-                    errors.append(str(error) or "not decodable")
-            decoded = [pa.array(columns[n], ARROW_TYPES[w]) for n, _, w in READING_WIRE]
+            encoded = batch.column("payload").cast(pa.large_binary())
+            regular, columns = decode_regular(encoded)
+            errors = pa.nulls(len(regular), pa.string())
+            if not regular.all():
+                other = np.flatnonzero(~regular)
+                parsed = parse_each(encoded.take(pa.array(other)))
+                columns = [*columns, pa.nulls(int(regular.sum()), pa.string())]
+                order = np.empty(len(regular), np.int64)
+                order[np.flatnonzero(regular)] = np.arange(regular.sum())
+                order[other] = regular.sum() + np.arange(len(other))
+                *columns, errors = [
+                    pa.concat_arrays(pair).take(pa.array(order)) for pair in zip(columns, parsed)
+                ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in passed), *decoded, pa.array(errors, pa.string())],
-                names=[*passed, *names, "decode_error"],
+                [*(batch.column(n) for n in passed), *columns, errors], names=names
             )
 
     return payloads.mapInArrow(decode, schema)
 
 
+def parse_each(payloads: pa.LargeBinaryArray) -> list[pa.Array]:
+    """Reading columns and errors of payloads parsed one by one, by the message class."""
+    from google.protobuf.message import DecodeError
+
+    reading = message_class("Reading")()
+    rows, errors = [], []
+    for payload in payloads.to_pylist():
+        try:
+            if payload is None:
+                raise DecodeError("no payload")
+            reading.Clear()
+            reading.MergeFromString(payload)
+            rows.append([getattr(reading, name) for name, _, _ in READING_WIRE])
+            errors.append(None)
+        except DecodeError as error:
+            rows.append([None] * len(READING_WIRE))
+            errors.append(str(error) or "not decodable")
+    columns = [pa.array(c, ARROW_TYPES[w]) for c, (_, _, w) in zip(zip(*rows), READING_WIRE)]
+    return [*columns, pa.array(errors, pa.string())]
+
+
+def decode_regular(payloads: pa.LargeBinaryArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Decode a whole batch at once, as far as payloads are regular.
+
+    Regular is what encoders write: known fields in ascending order, each at most once,
+    text in ASCII. Returns which payloads are, and the reading columns of those; all
+    others are left to parse_each, which decides about every irregular byte.
+    """
+    _, offsets, values = payloads.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[payloads.offset :][: len(payloads) + 1]
+    data = np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8)
+    data = np.append(data, np.uint8(0))  # a readable place behind the last byte
+    at, end = bounds[:-1].copy(), bounds[1:]
+    ok = payloads.is_valid().to_numpy(zero_copy_only=False).copy()
+
+    def varint(start: np.ndarray, stop: np.ndarray):
+        value, good = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+        place, unfinished = start.copy(), np.ones(len(start), bool)
+        for shift in range(0, 70, 7):
+            if not unfinished.any():
+                break
+            good &= ~unfinished | (place < stop)
+            unfinished &= good
+            byte = data[np.where(unfinished, place, 0)].astype(np.uint64)
+            if shift == 63:
+                good &= ~unfinished | (byte <= 1)
+            bits = (byte & np.uint64(0x7F)) << np.uint64(shift)
+            value |= np.where(unfinished, bits, np.uint64(0))
+            place += unfinished
+            unfinished &= byte >= 0x80
+        return value, place, good & ~unfinished
+
+    found = []
+    for _, number, wire in READING_WIRE:
+        tag = number << 3 | {"double": 1, "string": 2, "float": 5}.get(wire, 0)
+        rows = np.flatnonzero(ok & (at < end))
+        rows = rows[data[at[rows]] == tag]
+        start, stop = at[rows] + 1, end[rows]
+        if wire in ("double", "float"):
+            width = 8 if wire == "double" else 4
+            good = start + width <= stop
+            after, content = start + width, start
+        else:
+            content, after, good = varint(start, stop)
+        if wire == "string":
+            size, begin = content.astype(np.int64), after
+            good &= (size >= 0) & (size <= stop - begin)
+            content = np.column_stack([begin, np.where(good, size, 0)])
+            after = begin + content[:, 1]
+        ok[rows[~good]] = False
+        at[rows[good]] = after[good]
+        found.append((wire, rows, content))
+    ok &= at == end
+
+    columns = []
+    for wire, rows, content in found:
+        chosen = ok[rows]
+        rows, content = rows[chosen], content[chosen]
+        if wire == "string":
+            spans = np.zeros((len(ok), 2), np.int64)
+            spans[rows] = content
+            text = _gather(data, spans)
+            ok &= ~text[1]
+            columns.append((wire, spans))
+            continue
+        if wire in ("double", "float"):
+            width = 8 if wire == "double" else 4
+            raw = data[content[:, None] + np.arange(width)]
+            numbers = np.ascontiguousarray(raw).view(f"<f{width}").ravel()
+        elif wire == "int32":
+            numbers = content.astype(np.uint32).view(np.int32)
+        else:
+            numbers = content.view(np.int64)
+        full = np.zeros(len(ok), numbers.dtype)
+        full[rows] = numbers
+        columns.append((wire, full))
+
+    def finish(wire: str, values: np.ndarray) -> pa.Array:
+        if wire != "string":
+            return pa.array(values[ok], ARROW_TYPES[wire])
+        spans = values[ok]
+        text = _gather(data, spans)[0]
+        ends = np.append(0, np.cumsum(spans[:, 1])).astype(np.int32)
+        return pa.StringArray.from_buffers(len(spans), pa.py_buffer(ends), pa.py_buffer(text))
+
+    return ok, [finish(wire, values) for wire, values in columns]
+
+
+def _gather(data: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the (begin, length) spans one after the other, and which are not ASCII."""
+    length = spans[:, 1]
+    before = np.cumsum(length) - length
+    span_of = np.repeat(np.arange(len(spans)), length)
+    text = data[np.arange(len(span_of)) - before[span_of] + spans[span_of, 0]]
+    foreign = np.zeros(len(spans), bool)
+    foreign[span_of[text >= 0x80]] = True
+    return text, foreign
+
+
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad). To use both, write ``decoded`` first so the payloads decode once."""
     good = decoded.where(F.col("decode_error").isNull()).drop("decode_error")
