@@ -16,7 +16,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "tremora-tests")
+    session = local_session("4", "tremora-tests", spark__sql__shuffle__partitions="4")
     yield session
     session.stop()
 
