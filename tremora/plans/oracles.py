@@ -4,6 +4,7 @@ from __future__ import annotations
 
 DAY = 86_400_000
 
+# Milliseconds are cut from microseconds, as Spark does; DuckDB's epoch_ms may round.
 READINGS = """readings AS (
   SELECT event_id,
     concat(CASE WHEN user_id % 29 = 0 THEN 'probe_' ELSE 'sensor_' END,

@@ -101,6 +101,8 @@ def node_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_events(spark, sf_dir)
         .withColumn("ts", F.expr("unix_millis(CAST(ts AS TIMESTAMP)) div 3600000 * 3600"))
         .selectExpr(
-            "ts", "user_id % 3 AS node_id", "CASE WHEN event_id % 41 = 0 THEN NULL ELSE value / 1000 END AS cpu"
+            "ts",
+            "user_id % 3 AS node_id",
+            "CASE WHEN event_id % 41 = 0 THEN NULL ELSE value / 1000 END AS cpu",
         )
     )
