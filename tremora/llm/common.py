@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 DOC_KEY = "__doc"
+#: Arrow batches on their way to Python: rows differ in size by orders of magnitude.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
 
 
 def row_key(*columns: str) -> Column:
@@ -33,6 +35,13 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Bound the Arrow batches of this session by rows and by bytes, for workers' memory."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def append_columns(
     df: DataFrame,
     compute: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],
@@ -45,6 +54,7 @@ def append_columns(
 
     ``compute`` is called once per task and returns the function for its batches.
     """
+    bounded_batches(df)
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names and f.name not in drop]
     schema = T.StructType([*kept, *fields])
