@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import bpe
+from tremora.llm import bpe, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,15 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.encode_and_decode(documents, tokenizer_path()))
 
 
+def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_neardup": op3_neardup,
     }
 
 
