@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremora.llm import bpe, neardup
+from tremora.llm import bpe, decontaminate, linededup, neardup
+from tremora.llm.oracles import oracles as oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode_and_decode(documents, tokenizer_path()))
@@ -32,12 +46,15 @@ def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_linededup(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
         "op3_neardup": op3_neardup,
+        "op9_linededup": op9_linededup,
     }
 
-
-def oracles() -> dict[str, str]:
-    return {}
