@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import bpe, decontaminate, linededup, neardup
+from tremora.llm import bpe, decontaminate, linededup, neardup, quality
 from tremora.llm.oracles import oracles as oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,11 +50,27 @@ def op9_linededup(spark: SparkSession, sf: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf, "documents"))
 
 
+def quality_network(spark: SparkSession, docs: DataFrame, sf: str) -> quality.Network:
+    return quality.fit(docs, table(spark, sf, "labels"), quality.fold("doc_id", 5) != 0)
+
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    network = quality_network(spark, documents, sf)
+    return quality.with_score(documents, network).select(
+        "doc_id",
+        (quality.fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
         "op3_neardup": op3_neardup,
         "op9_linededup": op9_linededup,
+        "op10_quality": op10_quality,
     }
 
