@@ -7,18 +7,45 @@ read again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremora.llm import bpe
-from tremora.llm.registry import table, tokenizer_path
+from tremora.llm import bpe, decontaminate, linededup, neardup, quality
+from tremora.llm.registry import quality_network, table, tokenizer_path
 from tremora.session import stored
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier, trained on the labels table, rejects."""
+    scored = quality.with_score(docs, quality_network(spark, docs, sf_dir))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later copies of repeated line runs; a document of which nothing is left goes."""
+    cut = linededup.dedup_lines(docs)
+    return cut.where("n_removed < n_lines").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group: five words, similarity 0.8."""
+    return neardup.keep_one(docs, width=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which ten words of a benchmark item follow each other."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document, with the digests of a round trip."""
     return bpe.digests(bpe.encode_and_decode(docs.select("doc_id", "text"), tokenizer_path()))
 
 
 STAGES = [
+    ("quality", keep_quality),
+    ("linededup", cut_repeated_lines),
+    ("neardup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
     ("bpe", encode_texts),
 ]
 
