@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from tremora.llm.chat import CODES, CONTROL, END, MORE, TEXT, TURN
+
 WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), "
     f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'), "
@@ -67,8 +69,33 @@ FROM documents JOIN kept USING (doc_id)
 """
 
 
+def _escaped(column: str) -> str:
+    for old, new in [("%", "%25"), *((c, CODES[c[0]] + c[1:]) for c in CONTROL)]:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+CHAT = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST({len(END)} + sum(length({_escaped("text")}) + CASE WHEN before = role THEN {len(MORE)} ELSE
+    {len(TURN) + len(TEXT)} + length({_escaped("role")}) + CASE WHEN before IS NULL THEN 0 ELSE {len(END)} END
+    END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_decontaminate": DECONTAMINATION,
+        "op7_chat": CHAT,
         "op9_linededup": LINE_DEDUP,
     }
