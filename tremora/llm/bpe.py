@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremora.llm.common import append_columns, text_batches
-from tremora.session import shared_folder
+from tremora.session import shared_folder, stored
 
 #: How the byte-level vocabulary splits text before merging, and its white space.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -270,10 +270,24 @@ def with_words(df: DataFrame, vocabulary: Vocabulary, text: str, output: str) ->
 
 
 def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str, most: int) -> list[str]:
-    """The ``most`` frequent words of all texts; only these reach the driver."""
+    """At most ``most`` words, the most frequent ones of all texts; only these reach the driver.
+
+    Counts are put into 8 classes per power of two; the classes taken are those that fit whole.
+    """
     words = with_words(df.select(text), vocabulary, text, WORDS).select(F.explode(WORDS).alias("w"))
-    rows = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()
-    return [r["w"] for r in rows if r["w"] not in vocabulary.special]
+    counts = words.groupBy("w").count().where("count > 1")
+    counts = stored(counts.select("w", F.floor(F.log2("count") * 8).alias("size")), "word-counts")
+    taken, lowest = 0, None
+    sizes = counts.groupBy("size").count().collect()  # a few hundred rows at most
+    for row in sorted(sizes, reverse=True):
+        taken += row["count"]
+        if taken > most:
+            break
+        lowest = row["size"]
+    if lowest is None:
+        return []
+    rows = counts.where(F.col("size") >= lowest).collect()
+    return sorted(r["w"] for r in rows if r["w"] not in vocabulary.special)
 
 
 def store_lexicon(spark: SparkSession, data: np.ndarray) -> str:
