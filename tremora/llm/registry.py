@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, quality
+from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, quality, secrets
 from tremora.llm.oracles import oracles as oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,21 @@ def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.with_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+        for kind in secrets.BASE
+    ]
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"),
+        secrets.joined_spans("spans").alias("spans"),
+    )
+
+
 def op5_langid(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     held_out = quality.fold("doc_id", 4) == 2
@@ -88,6 +103,7 @@ def registered() -> dict[str, Query]:
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
         "op3_neardup": op3_neardup,
+        "op4_secrets": op4_secrets,
         "op5_langid": op5_langid,
         "op7_chat": op7_chat,
         "op9_linededup": op9_linededup,
