@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, neighbours, quality, secrets
+from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, neighbours, pii, quality, secrets
 from tremora.llm.oracles import oracles as oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,20 @@ def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.with_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.joined_spans(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        pii.joined_spans("spans").alias("spans"),
+    )
+
+
 def op9_linededup(spark: SparkSession, sf: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf, "documents"))
 
@@ -111,6 +125,7 @@ def registered() -> dict[str, Query]:
         "op5_langid": op5_langid,
         "op6_neighbours": op6_neighbours,
         "op7_chat": op7_chat,
+        "op8_pii": op8_pii,
         "op9_linededup": op9_linededup,
         "op10_quality": op10_quality,
     }
