@@ -365,11 +365,14 @@ def test_counter_rate(spark):
 
 def test_mean_load_is_cut_not_rounded(spark):
     loads = spark.createDataFrame(
-        [(0, 0.1), (0, 0.2), (0, 0.2), (1, 0.29), (1, 0.28), (2, None)], "ts bigint, cpu double"
+        [(0, 0.1), (0, 0.2), (0, 0.2), (1, 0.29), (1, 0.28), (2, None), (3, 0.2), (3, None)],
+        "ts bigint, cpu double",
     )
     assert {r.ts: (r.cpu, r.nodes) for r in scaling.mean_load(loads).collect()} == {
         0: (0.1666, 3),
         1: (0.285, 2),
+        2: (0.0, 1),
+        3: (0.1, 2),
     }
 
 

@@ -72,11 +72,36 @@ def test_plan_cuts_only_the_hot_key(skewed):
     assert sum(sizes.values()) == skewed.count()
 
 
-def test_plan_is_bounded(skewed):
-    plan = plan_pieces(skewed, ["sensor_id"], "collect_timestamp", target_rows=1, max_pieces=10)
-    assert plan.cuts.count() <= 20
-    few = plan_pieces(skewed, ["sensor_id"], "collect_timestamp", target_rows=1, max_keys=1)
-    assert {r["__cut_key0"] for r in few.cuts.collect()} == {HOT}
+def test_every_key_above_the_target_is_cut(spark):
+    rows = spark.range(300_000).selectExpr(
+        "concat('sensor_', id % 3000) AS sensor_id", "id AS collect_timestamp"
+    )
+    plan = plan_pieces(rows, ["sensor_id"], "collect_timestamp", target_rows=20)
+    assert plan.cuts.count() == 3000
+    sizes = plan.assign(rows).groupBy("sensor_id", PIECE).count()
+    assert sizes.count() == 15_000 and sizes.agg(F.max("count")).first()[0] <= 40
+
+
+def test_one_key_in_very_many_pieces(spark):
+    rows = spark.range(100_000).selectExpr("'a' AS sensor_id", "id * 7 AS collect_timestamp")
+    plan = plan_pieces(rows, ["sensor_id"], "collect_timestamp", target_rows=10)
+    sizes = plan.assign(rows).groupBy(PIECE).count()
+    assert sizes.count() >= 9_000 and sizes.agg(F.max("count")).first()[0] <= 20
+
+
+def test_blocks_are_cut_by_what_they_receive(spark):
+    """One busy cell in the corner of a block: its copies must not pile up next door."""
+    busy = spark.range(20_000).selectExpr("id AS event_id", "id AS collect_timestamp", "8 AS cell")
+    calm = spark.range(20).selectExpr("id + 20000", "id * 1000", "7")
+    rows = busy.union(calm).selectExpr(
+        "event_id", "'sensor_1' AS sensor_id", "collect_timestamp", "cell * 0.01D + 0.005D AS longitude",
+        "cell * 0.01D + 0.005D AS latitude", "CAST(1 AS FLOAT) AS seismic_amplitude",
+    )
+    plan = spatial.plan_blocks(rows, 0.01, target_rows=1_000)
+    sent = spatial._sent_to_blocks(rows, 0.01, 1)
+    sizes = plan.assign(sent).groupBy("bx", "by", PIECE).count()
+    assert sizes.select("bx", "by").distinct().count() == 4
+    assert sizes.agg(F.max("count")).first()[0] <= 2_000
 
 
 def test_no_hot_key_no_cuts(skewed):

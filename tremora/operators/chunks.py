@@ -12,18 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tremora.session import stored
 
 PIECE = "__piece"
 HALO = "__halo"
 WHOLE = -1
 
-MIN_LONG, MAX_LONG = -(2**63), 2**63 - 1
-
 
 @dataclass(frozen=True)
 class PiecePlan:
@@ -31,7 +29,7 @@ class PiecePlan:
 
     keys: tuple[str, ...]
     order: str
-    cuts: DataFrame | None = None  # key columns, __lo, __hi, __cut; about max_pieces rows
+    cuts: DataFrame | None = None  # key columns, __lo, __width: one row per key that is cut
     width: int | None = None  # fixed-width pieces for every key instead of cuts
 
     @property
@@ -39,16 +37,18 @@ class PiecePlan:
         return self.cuts is None and self.width is None
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the piece number of each row; WHOLE for keys that are not cut."""
+        """Add the piece number of each row; WHOLE for keys that are not cut.
+
+        A piece follows from its key's row by one division, whatever the number of pieces.
+        """
         if self.width is not None:
             return df.withColumn(PIECE, F.floor(F.col(self.order) / F.lit(self.width)))
         if self.cuts is None:
             return df.withColumn(PIECE, F.lit(WHOLE).cast("bigint"))
-        match = (F.col(self.order) >= F.col("__lo")) & (F.col(self.order) < F.col("__hi"))
-        for i, key in enumerate(self.keys):
-            match = match & (F.col(key) == F.col(f"__cut_key{i}"))
-        return df.join(F.broadcast(self.cuts), match, "left").select(
-            *df.columns, F.coalesce("__cut", F.lit(WHOLE).cast("bigint")).alias(PIECE)
+        match = [F.col(key) == F.col(f"__cut_key{i}") for i, key in enumerate(self.keys)]
+        piece = F.expr(f"({self.order} - __lo) div __width")
+        return df.join(self.cuts, match, "left").select(
+            *df.columns, F.coalesce(piece, F.lit(WHOLE).cast("bigint")).alias(PIECE)
         )
 
     def only_cut(self, df: DataFrame) -> DataFrame:
@@ -62,65 +62,29 @@ def calendar_pieces(keys: Sequence[str], order: str, width: int) -> PiecePlan:
 
 
 def plan_pieces(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    target_rows: int = 4_000_000,
-    max_keys: int = 2_000,
-    max_pieces: int = 4_000,
+    df: DataFrame, keys: Sequence[str], order: str, target_rows: int = 4_000_000
 ) -> PiecePlan:
-    """Find keys with more than ``target_rows`` rows and cut them at quantiles of ``order``.
+    """Cut every key with more than ``target_rows`` rows into pieces of equal width.
 
-    Runs one counting job over the key columns, and a quantile job over the hot keys
-    if there are any. What reaches the driver is bounded by ``max_keys`` counts and
-    about ``max_pieces`` + ``max_keys`` cut points, whatever the size of the data:
-    the target grows with the total so that all pieces together stay near max_pieces.
-    Only balance depends on the quantiles, never the result.
+    One counting job over the key columns. A key's width is its span over the pieces it needs,
+    so rows spread evenly give pieces of at most about ``target_rows``, at any size of the
+    data; no number of keys or pieces is too many. The widths stay a table (one row per cut
+    key) that is joined, by broadcast where Spark finds it small enough and with split
+    partitions otherwise. Rows that share one value of ``order`` stay together.
     """
     keys = tuple(keys)
-    totals = Observation()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    top = (
-        counts.observe(totals, F.sum("__n").alias("rows"))
-        .where(F.col("__n") > target_rows)
-        .orderBy(F.desc("__n"))
-        .limit(max_keys)
-        .collect()
-    )
-    target = max(target_rows, ceil((totals.get["rows"] or 0) / max_pieces))
-    hot = [row for row in top if row["__n"] > target]
-    if not hot:
-        return PiecePlan(keys, order)
-
-    # One percentile list serves all keys; a smaller key takes every stride-th of it.
-    parts = min(max_pieces, ceil(hot[0]["__n"] / target))
-    spark, schema = df.sparkSession, df.select(*keys).schema
-    strides = spark.createDataFrame(
-        [(*[row[k] for k in keys], max(1, parts * target // row["__n"])) for row in hot],
-        T.StructType([*schema.fields, T.StructField("__stride", T.IntegerType())]),
+    counts = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi")
     )
-    fractions = [i / parts for i in range(1, parts)]
-    found = (
-        df.select(*keys, order)
-        .join(F.broadcast(strides), list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(order, fractions, max(10_000, 10 * parts)).alias("__q"),
-            F.first("__stride").alias("__stride"),
-        )
-        .selectExpr(*keys, "array_distinct(filter(__q, (q, i) -> (i + 1) % __stride = 0)) AS __q")
-        .collect()
+    width = F.expr(f"(__hi - __lo) div ((__n + {target_rows - 1}) div {target_rows}) + 1")
+    cuts = counts.where(F.col("__n") > target_rows).select(
+        # Names of its own, so that joining it to any frame is unambiguous.
+        *[F.col(key).alias(f"__cut_key{i}") for i, key in enumerate(keys)],
+        "__lo",
+        width.alias("__width"),
     )
-    rows = []
-    for row in found:
-        edges = [MIN_LONG, *sorted(row["__q"]), MAX_LONG]
-        values = [row[k] for k in keys]
-        rows += [(*values, lo, hi, i) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    # Names of its own, so that joining it to any frame is unambiguous.
-    named = [T.StructField(f"__cut_key{i}", f.dataType) for i, f in enumerate(schema.fields)]
-    bounds = [T.StructField(n, T.LongType()) for n in ("__lo", "__hi", "__cut")]
-    cuts = spark.createDataFrame(rows, T.StructType([*named, *bounds]))
-    return PiecePlan(keys, order, cuts=cuts)
+    cuts = stored(cuts, "cuts")
+    return PiecePlan(keys, order, cuts=None if cuts.isEmpty() else cuts)
 
 
 def over_recent_rows(

@@ -72,7 +72,7 @@ def flag_last_kept(
         segments = _segments(plan.only_cut(assigned), gap_ms, ttl_ms)
         own = F.coalesce(F.col(TS) >= F.col("start_from"), F.lit(True))
         keyed = (
-            assigned.join(F.broadcast(segments), [SENSOR, PIECE], "left")
+            assigned.join(segments, [SENSOR, PIECE], "left")
             .withColumns(
                 {
                     PIECE: F.when(own, F.col(PIECE)).otherwise(F.col("owner")),
@@ -94,33 +94,56 @@ def dedup_last_kept(readings: DataFrame, *args, **kwargs) -> DataFrame:
 def _fold(amplitude_threshold: float, gap_ms: int, ttl_ms: int):
     """The decision over readings sorted by (sensor, piece, time, id).
 
-    State crosses Arrow batches. The other columns pass through untouched.
+    State crosses Arrow batches. The other columns pass through untouched. A reading at least
+    ``gap_ms`` after the one before it is kept whatever came before, and when baselines end
+    follows from times alone; both are found for a whole batch at once, and only the readings
+    in between are looked at one by one.
     """
     close = close_amplitude(amplitude_threshold)
 
+    def fold(ts, amps, created, base_ts, base_amp):
+        """Flags of one key's readings in a batch, and the state after them."""
+        fresh = np.zeros(len(ts), bool)  # sets a new baseline because the last one has ended
+        at = 0
+        if created is not None:
+            at = int(np.searchsorted(ts, created + ttl_ms, side="right"))
+        while at < len(ts):
+            fresh[at] = True
+            created = int(ts[at])
+            at = int(np.searchsorted(ts, created + ttl_ms, side="right"))
+        before = ts[0] - gap_ms if base_ts is None else base_ts
+        sure = fresh | (np.diff(ts, prepend=before) >= gap_ms)
+        flags = np.zeros(len(ts), bool)
+        position = -1
+        for i in np.flatnonzero(~sure).tolist():
+            if position < i - 1:  # the readings in between were kept
+                base_ts, base_amp = int(ts[i - 1]), float(amps[i - 1])
+            position = i
+            if ts[i] - base_ts < gap_ms and close(float(amps[i]), base_amp):
+                flags[i] = True
+            else:
+                base_ts, base_amp = int(ts[i]), float(amps[i])
+        if position < len(ts) - 1:
+            base_ts, base_amp = int(ts[-1]), float(amps[-1])
+        return flags, (created, base_ts, base_amp)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = base_amp = base_ts = created = None
+        current, state = None, (None, None, None)
         for batch in batches:
-            flags = []
-            keys = zip(batch.column(SENSOR).to_pylist(), batch.column(PIECE).to_pylist())
-            values = zip(
-                keys,
-                batch.column(TS).to_pylist(),
-                batch.column("seismic_amplitude").to_pylist(),
-                batch.column(CREATED).to_pylist(),
-            )
-            for key, ts, amp, inherited in values:
+            sensors = batch.column(SENSOR).dictionary_encode().indices.fill_null(-1).to_numpy()
+            pieces = batch.column(PIECE).to_numpy()
+            ts = batch.column(TS).to_numpy()
+            amps = batch.column("seismic_amplitude").to_numpy(zero_copy_only=False).astype(float)
+            changes = (sensors[1:] != sensors[:-1]) | (pieces[1:] != pieces[:-1])
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(ts)]
+            flags = np.zeros(len(ts), bool)
+            for lo, hi in zip(bounds, bounds[1:]):
+                if lo == hi:
+                    continue
+                key = (batch.column(SENSOR)[lo].as_py(), int(pieces[lo]))
                 if key != current:
-                    current, base_ts, created = key, None, inherited
-                if created is None or ts - created > ttl_ms:
-                    created, duplicate = ts, False
-                else:
-                    duplicate = (
-                        base_ts is not None and ts - base_ts < gap_ms and close(amp, base_amp)
-                    )
-                if not duplicate:
-                    base_amp, base_ts = amp, ts
-                flags.append(duplicate)
+                    current, state = key, (batch.column(CREATED)[lo].as_py(), None, None)
+                flags[lo:hi], state = fold(ts[lo:hi], amps[lo:hi], *state)
             kept = [n for n in batch.schema.names if n not in (PIECE, CREATED)]
             yield batch.select(kept).append_column(DUPLICATE, pa.array(flags, pa.bool_()))
 

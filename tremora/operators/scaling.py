@@ -68,12 +68,13 @@ def counter_rate(
 def mean_load(loads: DataFrame, by: str = "ts") -> DataFrame:
     """Mean load over nodes per sampling time, cut (not rounded) to four decimals.
 
-    Computed in decimals: a binary mean of 0.12 and 0.13 may fall just below 0.125.
+    A node that answered without a load counts as one with load 0, so a sample of such nodes
+    only has the mean 0.0. Computed in decimals: a binary mean of 0.12 and 0.13 may fall just
+    below 0.125.
     """
-    exact = F.col("cpu").cast("decimal(22,12)")
+    exact = F.coalesce(F.col("cpu").cast("decimal(22,12)"), F.lit(0).cast("decimal(22,12)"))
     return (
-        loads.where(F.col("cpu").isNotNull())
-        .groupBy(by)
+        loads.groupBy(by)
         .agg(F.sum(exact).alias("__sum"), F.count(F.lit(1)).alias("nodes"))
         .withColumn(
             "cpu",

@@ -91,17 +91,30 @@ def latest_grids(grids: DataFrame, n: int = 1000) -> DataFrame:
     return grids.orderBy(F.desc("last_update"), "grid_key").limit(n)
 
 
-def with_block(readings: DataFrame, size: float = DEFAULT_CELL) -> DataFrame:
-    """Add the block of cells a reading lies in: the unit of work of score_spatial."""
+def _sent_to_blocks(readings: DataFrame, size: float, radius: int) -> DataFrame:
+    """Each reading once for every block (bx, by) in which it counts; HOME marks its own."""
     side = F.lit(BLOCK_CELLS)
-    return with_cell(readings, size).withColumns(
-        {"bx": F.floor(F.col("gx") / side), "by": F.floor(F.col("gy") / side)}
+
+    def blocks(axis: str) -> Column:
+        first = F.floor((F.col(axis) - F.lit(radius)) / side)
+        last = F.floor((F.col(axis) + F.lit(radius)) / side)
+        return F.explode(F.sequence(first, last))
+
+    home = (F.col("bx") == F.floor(F.col("gx") / side)) & (
+        F.col("by") == F.floor(F.col("gy") / side)
     )
+    placed = with_cell(readings, size).where("gx IS NOT NULL AND gy IS NOT NULL")
+    return placed.withColumn("bx", blocks("gx")).withColumn("by", blocks("gy")).withColumn(HOME, home)
+
 
+def plan_blocks(
+    readings: DataFrame, size: float = DEFAULT_CELL, radius: int = 1, **limits: int
+) -> PiecePlan:
+    """Look for blocks with too many rows for one task and cut them along time.
 
-def plan_blocks(readings: DataFrame, size: float = DEFAULT_CELL, **limits: int) -> PiecePlan:
-    """Look for blocks with too many readings for one task and cut them along time."""
-    return plan_pieces(with_block(readings, size), BLOCK, READING_ORDER[0], **limits)
+    Counts what a block receives, copies from the blocks around it included.
+    """
+    return plan_pieces(_sent_to_blocks(readings, size, radius), BLOCK, READING_ORDER[0], **limits)
 
 
 def score_spatial(
@@ -121,26 +134,12 @@ def score_spatial(
     carries the amplitude only). A block's readings then stream in order past running sums per
     cell. ``plan`` (from plan_blocks) cuts busy blocks into time pieces; each piece
     starts with one carry row per cell that holds the sum and count of all earlier
-    pieces.
+    pieces. Readings without a position have no neighbourhood and are left out. Sums are
+    doubles: cut and whole blocks may differ in the last bits.
     """
     order = list(READING_ORDER)
-    side = F.lit(BLOCK_CELLS)
     columns = readings.columns
-
-    def blocks(axis: str) -> Column:
-        first = F.floor((F.col(axis) - F.lit(radius)) / side)
-        last = F.floor((F.col(axis) + F.lit(radius)) / side)
-        return F.explode(F.sequence(first, last))
-
-    home = (F.col("bx") == F.floor(F.col("gx") / side)) & (
-        F.col("by") == F.floor(F.col("gy") / side)
-    )
-    sent = (
-        with_cell(readings, size)
-        .withColumn("bx", blocks("gx"))
-        .withColumn("by", blocks("gy"))
-        .withColumn(HOME, home)
-    )
+    sent = _sent_to_blocks(readings, size, radius)
     plan = plan or PiecePlan(tuple(BLOCK), order[0])
     payload = [c for c in columns if c not in order]
     sent = plan.assign(sent).select(
@@ -256,11 +255,6 @@ def regional_anomaly(threshold: float = 0.5) -> Column:
     return F.when(rest == 0, F.lit(False)).otherwise(amplitude / rest > 1 + threshold)
 
 
-def _inside_block(x: str, y: str) -> Column:
-    side = F.lit(BLOCK_CELLS)
-    return (F.floor(F.col(x) / side) == F.col("bx")) & (F.floor(F.col(y) / side) == F.col("by"))
-
-
 def _carry_rows(cut: DataFrame, radius: int) -> DataFrame:
     """Per cut block, piece and cell: sum and count over the cell's neighbourhood in all
     earlier pieces. At most 64 rows per piece, however many readings there are."""

@@ -387,9 +387,10 @@ def oracles() -> dict[str, str]:
         "counter_rate_split": rate_sql,
         "mean_load": """SELECT epoch_us(ts) // 3600000000 * 3600 AS ts,
               count(*) AS nodes,
-              (CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // (10 * count(*)))
-                / 10000.0 AS cpu
-            FROM events WHERE event_id % 41 <> 0 GROUP BY 1""",
+              (CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT))
+                FILTER (event_id % 41 <> 0 AND event_id % 720 >= 60), 0) AS BIGINT)
+                // (10 * count(*))) / 10000.0 AS cpu
+            FROM events GROUP BY 1""",
         "metrics_retention": metrics + "SELECT * FROM metrics WHERE ts >= 1706659200 - 604800",
         "sustained_threshold": sustained
         + "SELECT sample_id, job_id, ts, rate_high, rate_low, cpu_high, cpu_low FROM sustained",

@@ -35,7 +35,7 @@ POLICY = scaling.Policy(
     rate_high=3000, rate_low=800, cpu_high=0.8, cpu_low=0.5, duration=21_600
 )
 # Limits in *_split queries: keys above a few dozen rows are cut.
-SPLIT = {"target_rows": 25, "max_keys": 50, "max_pieces": 200}
+SPLIT = {"target_rows": 25}
 # Sensor histories cut every ten days.
 HISTORY_PIECES = calendar_pieces(["sensor_id"], "window_start_ts", 10 * DAY_MS)
 

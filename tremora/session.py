@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,16 +35,19 @@ def local_session(cores: str = "8", name: str = "tremora", **conf: str) -> Spark
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach, under ``spark.checkpoint.dir``.
 
-    The root is ``spark.checkpoint.dir``. Only a local session may go without it;
-    there, driver and executors are one process on one machine.
+    A session without that setting gets one only where driver and executors are one process
+    (master ``local`` or ``local[...]``): a temporary folder that is set for the whole session
+    and removed at its end. Everywhere else a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tremora-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
