@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tremora.functions.readings import window_start
 from tremora.operators.chunks import PiecePlan
 from tremora.operators.dedup import dedup_first_seen, dedup_last_kept
 from tremora.operators.history import with_history
 from tremora.operators.quality import filter_valid
 from tremora.operators.scaling import PRODUCTION, Policy, alerts, recommend, retain
-from tremora.operators.spatial import score_spatial, spatial_anomaly
+from tremora.operators.spatial import plan_blocks, score_spatial, spatial_anomaly
 from tremora.operators.windows import SECOND_MS, window_agg
 from tremora.session import stored
 from tremora.sinks.text import format_agg, format_record
@@ -68,6 +69,31 @@ def last_kept_spatial(
     return scored.withColumn("is_spatial_anomaly", spatial_anomaly(threshold))
 
 
+def last_kept_job(
+    readings: DataFrame,
+    size: float,
+    size_ms: int = SECOND_MS,
+    history: int = 10,
+    threshold: float = 0.5,
+    plan: PiecePlan | None = None,
+    **thresholds: float,
+) -> DataFrame:
+    """The whole job: readings are deduplicated and stored once; each kept reading then has its
+    spatial score, its window's mean, and the window's history and deviation."""
+    kept = stored(dedup_last_kept(filter_valid(readings), plan=plan, **thresholds), "kept")
+    scored = score_spatial(kept, size, plan=plan_blocks(kept, size))
+    windows = with_history(window_agg(kept, size_ms), history).select(
+        "sensor_id", "window_start_ts", "avg_amplitude", "history_avg", "deviation"
+    )
+    in_window = scored.withColumns(
+        {
+            "window_start_ts": window_start("collect_timestamp", size_ms),
+            "is_spatial_anomaly": spatial_anomaly(threshold),
+        }
+    )
+    return in_window.join(windows, ["sensor_id", "window_start_ts"], "left")
+
+
 def scaling_alerts(
     metrics: DataFrame, now: int, policy: Policy = PRODUCTION, **slicing: int
 ) -> DataFrame:

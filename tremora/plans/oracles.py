@@ -133,6 +133,12 @@ flagged AS (
   SELECT r.*, f.is_duplicate FROM ranked r JOIN folded f
     ON f.sensor_id = r.sensor_id AND f.rn = r.rn),
 kept AS (SELECT * EXCLUDE (rn, is_duplicate) FROM flagged WHERE NOT is_duplicate)"""
+# The defaults, amplitude < 0.5, gap < 100 ms, lifetime 60 s, over denser readings.
+DENSE = """dense AS (SELECT * REPLACE (collect_timestamp // 360000 AS collect_timestamp,
+  CAST(CAST(seismic_amplitude AS DOUBLE) / 64 AS FLOAT) AS seismic_amplitude) FROM valid)"""
+KEPT_BY_DEFAULT = LAST_KEPT
+for wide, default in (("864000000", "60000"), ("20.0", "0.5"), ("21600000", "100"), ("FROM valid", "FROM dense")):
+    KEPT_BY_DEFAULT = KEPT_BY_DEFAULT.replace(wide, default)
 # amplitude < 20, gap < 10 days
 FIRST_SEEN = """firsts AS (
   SELECT *, first_value(seismic_amplitude) OVER w AS first_amp,
@@ -270,14 +276,16 @@ def oracles() -> dict[str, str]:
       SELECT sample_id, job_id, t AS ts, total_records,
         CASE WHEN dt > 0 AND dn >= 0 THEN dn // dt ELSE 0 END AS rate FROM d"""
 
-    return {
+    found = {
         # sources
         "payload_roundtrip": base + "SELECT * FROM readings WHERE event_id % 50 <> 0",
-        "payload_quarantine": "SELECT event_id FROM events WHERE event_id % 50 = 0",
+        "payload_quarantine": "SELECT event_id, 'FFFF' AS payload_hex FROM events "
+        "WHERE event_id % 50 = 0",
         "bounded_read": base
         + "SELECT * FROM readings ORDER BY collect_timestamp, event_id LIMIT 1000",
         "metrics_log": metrics
-        + "SELECT ts, throughput, round(cpu, 4) AS cpu FROM metrics",
+        + "SELECT ts, throughput, round(cpu, 4) AS cpu FROM metrics WHERE ts % 50 <> 0",
+        "metrics_log_odd": metrics + "SELECT ts FROM metrics WHERE ts % 50 = 0",
         # quality
         "valid_readings": base + "SELECT * FROM valid",
         "reject_report": base
@@ -417,11 +425,39 @@ def oracles() -> dict[str, str]:
             LAST_KEPT, CELLED.replace("FROM valid", "FROM kept"), _spatial("celled")
         )
         + f"SELECT {SCORE_COLUMNS}, spatial_ratio > 1.5 AS is_spatial_anomaly FROM scores",
+        "last_kept_job": _with(
+            LAST_KEPT,
+            CELLED.replace("FROM valid", "FROM kept"),
+            _spatial("celled"),
+            _aggregate("agg", "kept"),
+            _history("agg"),
+        )
+        + f"""SELECT {SCORE_COLUMNS}, spatial_ratio > 1.5 AS is_spatial_anomaly, window_start_ts,
+            round(avg_amplitude, 6) AS avg_amplitude, round(history_avg, 6) AS history_avg,
+            {DEVIATION} AS deviation
+          FROM scores JOIN history USING (sensor_id)
+          WHERE window_start_ts = collect_timestamp - collect_timestamp % {DAY}""",
         # streams
         "stream_window_agg": window_sql,
         "stream_dedup_last_kept": kept_sql,
         "stream_dedup_first_seen": first_seen + "SELECT * FROM kept",
         "stream_spatial_scores": scores_sql,
+        "dedup_last_kept_defaults": _with(DENSE, KEPT_BY_DEFAULT)
+        + "SELECT event_id, sensor_id, collect_timestamp FROM kept",
+        "stream_restarted": kept_sql,
+        "stream_csv_files": window_sql,
+        "stream_processing_time": base
+        + """SELECT sensor_id, count(*) AS total_count,
+            count(*) FILTER (WHERE phase_type = 'P') AS p_phase_count,
+            count(*) FILTER (WHERE phase_type = 'S') AS s_phase_count,
+            count(*) FILTER (WHERE phase_type NOT IN ('P', 'S')) AS n_phase_count,
+            max(seismic_amplitude) AS max_amplitude, min(seismic_amplitude) AS min_amplitude
+          FROM valid GROUP BY sensor_id""",
         "stream_last_kept_aggregate": _with(LAST_KEPT, _aggregate("agg", "kept"))
         + f"SELECT {AGG_COLUMNS} FROM agg",
     }
+    # The stream form of a job gives the rows of the batch form.
+    found["stream_filter_aggregate"] = found["filter_aggregate"]
+    found["stream_first_seen_aggregate"] = found["first_seen_aggregate"]
+    found["stream_last_kept_job"] = found["last_kept_aggregate"]
+    return found

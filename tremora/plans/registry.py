@@ -20,7 +20,9 @@ from tremora.schemas import AGGREGATE, READING
 from tremora.session import shared_folder, stored
 from tremora.sinks.text import agg_to_csv, format_agg
 from tremora.sources import events, metrics, payloads
-from tremora.sources.readings import read_bounded
+from tremora.sinks.streams import to_csv_files
+from tremora.sources.readings import read_bounded, read_stream
+from tremora.streaming import jobs as stream_jobs
 from tremora.streaming import runner, stateful
 from tremora.streaming.windows import window_agg_stream
 
@@ -48,6 +50,16 @@ def _valid(spark: SparkSession, sf: str) -> DataFrame:
     return quality.filter_valid(events.readings(spark, sf))
 
 
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid readings so close in time and amplitude that the default thresholds matter."""
+    return _valid(spark, sf).withColumns(
+        {
+            "collect_timestamp": F.expr("collect_timestamp div 360000"),
+            "seismic_amplitude": (F.col("seismic_amplitude").cast("double") / 64).cast("float"),
+        }
+    )
+
+
 def _agg(spark: SparkSession, sf: str) -> DataFrame:
     return window_agg(_valid(spark, sf), DAY_MS)
 
@@ -157,16 +169,32 @@ def payload_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def payload_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     _, bad = payloads.split_decoded(payloads.decode_payloads(events.payloads(spark, sf)))
-    return bad.select("event_id")
+    return bad.select("event_id", F.hex("bad_payload").alias("payload_hex"))
 
 
 def bounded_read(spark: SparkSession, sf: str) -> DataFrame:
     return read_bounded(events.readings(spark, sf), 1000)
 
 
+def _log(spark: SparkSession, sf: str) -> str:
+    """A metrics log as text files; every fiftieth second's lines are of another shape."""
+    folder = shared_folder(spark, "metrics-log")
+    odd = F.col("value").rlike("^[0-9]*[05]0,")
+    lines = metrics.format_metrics(events.metrics(spark, sf)).withColumn(
+        "value", F.when(odd, F.concat(F.lit("? "), "value")).otherwise(F.col("value"))
+    )
+    lines.write.text(folder)
+    return folder
+
+
 def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
-    lines = metrics.format_metrics(events.metrics(spark, sf))
-    return metrics.parse_metrics(lines, "job").select("ts", "throughput", "cpu")
+    log = metrics.read_metrics_log(spark, _log(spark, sf), "job")
+    return log.select("ts", "throughput", "cpu")
+
+
+def metrics_log_odd(spark: SparkSession, sf: str) -> DataFrame:
+    odd = metrics.odd_lines(spark.read.text(_log(spark, sf)))
+    return odd.select(F.regexp_extract("value", r"^\? (\d+),", 1).cast("bigint").alias("ts"))
 
 
 # --- quality ------------------------------------------------------------------------
@@ -186,8 +214,37 @@ def critical_readings(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------
 
 
+SLICES, FILES_PER_SLICE = 3, 2
+
+
+def _write_arrivals(folder: str, parts: list[DataFrame]) -> None:
+    """Append slices of time one after the other: files arrive in time order."""
+    for part in parts:
+        part.repartition(FILES_PER_SLICE).write.mode("append").parquet(folder)
+
+
+def _flush(spark: SparkSession) -> DataFrame:
+    """A reading far behind all others: the watermark passes every window but its own."""
+    row = (-1, "sensor_9999_flush", AS_OF + 30 * DAY_MS, 108.0, 34.0, 0, 1.0, 10, "P", 1, 5)
+    return spark.createDataFrame([row], READING)
+
+
+def _arrivals(spark: SparkSession, sf: str, flush: bool = False) -> str:
+    folder = shared_folder(spark, "arrivals")
+    readings = events.readings(spark, sf).select(READING.fieldNames())
+    _write_arrivals(folder, events.time_slices(readings, "collect_timestamp", SLICES))
+    if flush:
+        _flush(spark).write.mode("append").parquet(folder)
+    return folder
+
+
 def _replay(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.filter_valid(events.as_readings(events.stream_events(spark, sf)))
+    """The valid readings as a stream of one slice after the other."""
+    return quality.filter_valid(read_stream(spark, _arrivals(spark, sf), FILES_PER_SLICE))
+
+
+def _flushed(spark: SparkSession, sf: str) -> DataFrame:
+    return read_stream(spark, _arrivals(spark, sf, flush=True), FILES_PER_SLICE)
 
 
 def _append(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
@@ -214,9 +271,18 @@ def stream_window_agg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_processing_time(spark: SparkSession, sf: str) -> DataFrame:
-    """Which window a reading falls into depends on the clock; totals per sensor do not."""
+    """Totals per sensor: which window a reading falls into depends on the clock, these do not."""
     stream = window_agg_stream(_replay(spark, sf), "1 second", time="processing")
-    return _current(spark, stream, "stream-processing-time")
+    counts = ["total_count", "p_phase_count", "s_phase_count", "n_phase_count"]
+    return (
+        _current(spark, stream, "stream-processing-time")
+        .groupBy("sensor_id")
+        .agg(
+            *[F.sum(c).alias(c) for c in counts],
+            F.max("max_amplitude").alias("max_amplitude"),
+            F.min("min_amplitude").alias("min_amplitude"),
+        )
+    )
 
 
 def stream_dedup_last_kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,6 +290,20 @@ def stream_dedup_last_kept(spark: SparkSession, sf: str) -> DataFrame:
     return _append(spark, stream, "stream-last-kept")
 
 
+def stream_restarted(spark: SparkSession, sf: str) -> DataFrame:
+    """Last-kept dedup that stops after the first slices and goes on with the later ones."""
+    folder = shared_folder(spark, "stream-restart")
+    readings = events.readings(spark, sf).select(READING.fieldNames())
+    parts = events.time_slices(readings, "collect_timestamp", SLICES)
+    for arriving in (parts[:1], parts[1:]):
+        _write_arrivals(f"{folder}/in", arriving)
+        source = quality.filter_valid(read_stream(spark, f"{folder}/in", FILES_PER_SLICE))
+        stream = stateful.dedup_last_kept_stream(source, **LAST_KEPT)
+        with runner.stream_settings(spark):
+            runner.append_to_table(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(READING).parquet(f"{folder}/out")
+
+
 def stream_dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     stream = stateful.dedup_first_seen_stream(_replay(spark, sf), **FIRST_SEEN)
     return _append(spark, stream, "stream-first-seen")
@@ -245,12 +325,46 @@ def stream_last_kept_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_current(spark, stream, "stream-kept-agg"), "avg_amplitude")
 
 
+def stream_filter_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    stream = stream_jobs.filter_aggregate_stream(_flushed(spark, sf), "1 day", "1 hour")
+    return _append(spark, stream, "stream-p1").select("sensor_id", "window_start_ts", "line")
+
+
+def stream_first_seen_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    stream = stream_jobs.first_seen_aggregate_stream(
+        _flushed(spark, sf), "1 day", "1 hour", **FIRST_SEEN
+    )
+    return _append(spark, stream, "stream-p2").select("sensor_id", "window_start_ts", "line")
+
+
+def stream_last_kept_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Dedup, aggregate and line in one stream; history over the table it writes."""
+    stream = stream_jobs.last_kept_aggregate_stream(
+        _flushed(spark, sf), "1 day", "1 hour", **LAST_KEPT
+    )
+    scored = history.with_history(_append(spark, stream, "stream-p3"), 10)
+    columns = ["sensor_id", "window_start_ts", "line", "history_avg", "deviation"]
+    return rounded(scored.select(*columns), "history_avg", "deviation")
+
+
+def stream_csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregates to rolling CSV files, read back."""
+    folder = shared_folder(spark, "stream-csv")
+    valid = quality.filter_valid(_flushed(spark, sf))
+    stream = window_agg_stream(valid, "1 day", "1 hour")
+    with runner.stream_settings(spark):
+        writer = to_csv_files(stream, f"{folder}/out", f"{folder}/state", None, max_records=1000)
+        writer.start().awaitTermination()
+    return rounded(spark.read.schema(AGGREGATE).csv(f"{folder}/out"), "avg_amplitude")
+
+
 def registered() -> dict[str, Query]:
     queries: dict[str, Query] = {
         "payload_roundtrip": payload_roundtrip,
         "payload_quarantine": payload_quarantine,
         "bounded_read": bounded_read,
         "metrics_log": metrics_log,
+        "metrics_log_odd": metrics_log_odd,
         "valid_readings": _valid,
         "reject_report": reject_report,
         "reject_counts": lambda s, d: quality.reject_counts(events.readings(s, d)),
@@ -323,6 +437,9 @@ def registered() -> dict[str, Query]:
         ),
         "dedup_last_kept": _kept,
         "dedup_last_kept_split": lambda s, d: _kept(s, d, **SPLIT),
+        "dedup_last_kept_defaults": lambda s, d: dedup.dedup_last_kept(_dense(s, d)).select(
+            "event_id", "sensor_id", "collect_timestamp"
+        ),
         "dedup_off": lambda s, d: dedup.dedup_last_kept(_valid(s, d), enabled=False),
         "dedup_first_seen": lambda s, d: dedup.dedup_first_seen(_valid(s, d), **FIRST_SEEN),
         "dedup_stats": lambda s, d: rounded(dedup.dedup_stats(_flagged(s, d)), "skip_percent"),
@@ -362,12 +479,18 @@ def registered() -> dict[str, Query]:
         ).select("sensor_id", "window_start_ts", "line"),
         "last_kept_aggregate": last_kept_aggregate,
         "last_kept_spatial": last_kept_spatial,
+        "last_kept_job": last_kept_job,
         "stream_window_agg": stream_window_agg,
         "stream_processing_time": stream_processing_time,
         "stream_dedup_last_kept": stream_dedup_last_kept,
         "stream_dedup_first_seen": stream_dedup_first_seen,
         "stream_spatial_scores": stream_spatial_scores,
         "stream_last_kept_aggregate": stream_last_kept_aggregate,
+        "stream_restarted": stream_restarted,
+        "stream_filter_aggregate": stream_filter_aggregate,
+        "stream_first_seen_aggregate": stream_first_seen_aggregate,
+        "stream_last_kept_job": stream_last_kept_job,
+        "stream_csv_files": stream_csv_files,
     }
     return queries
 
@@ -408,3 +531,12 @@ def last_kept_spatial(spark: SparkSession, sf: str) -> DataFrame:
         **LAST_KEPT,
     )
     return _score_output(scored, "is_spatial_anomaly")
+
+
+def last_kept_job(spark: SparkSession, sf: str) -> DataFrame:
+    valid = _valid(spark, sf)
+    found = jobs.last_kept_job(
+        events.readings(spark, sf), CELL_SIZE, DAY_MS, plan=_sensor_plan(valid), **LAST_KEPT
+    )
+    columns = ["is_spatial_anomaly", "window_start_ts", "avg_amplitude", "history_avg", "deviation"]
+    return rounded(_score_output(found, *columns), "avg_amplitude", "history_avg", "deviation")

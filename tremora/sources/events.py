@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.schemas import EVENT
-
 READING_EXPRS = [
     "event_id",
     """concat(CASE WHEN user_id % 29 = 0 THEN 'probe_' ELSE 'sensor_' END,
@@ -36,14 +34,12 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def stream_events(
-    spark: SparkSession, sf_dir: str, max_files: int | None = None
-) -> DataFrame:
-    # Plain lookup of files: the table may be one file or a folder of them.
-    reader = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(f"{sf_dir}/events.parquet")
+def time_slices(df: DataFrame, order: str, slices: int) -> list[DataFrame]:
+    """Consecutive parts of about equal size; the bounds are approximate quantiles."""
+    inner = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)
+    edges = [float("-inf"), *sorted(set(inner)), float("inf")]
+    at = F.col(order)
+    return [df.where((at >= lo) & (at < hi)) for lo, hi in zip(edges, edges[1:])]
 
 
 def as_readings(events: DataFrame) -> DataFrame:

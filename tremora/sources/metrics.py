@@ -9,7 +9,7 @@ LINE = r"^(\d+),throughput:([^,]*),cpu:([^,]*)$"
 
 
 def parse_metrics(lines: DataFrame, job_id: str, column: str = "value") -> DataFrame:
-    """Lines of another shape are dropped; a value that is no number counts as 0."""
+    """Lines of another shape are left out (see odd_lines); a value that is no number is 0."""
 
     def part(i: int):
         return F.regexp_extract(column, LINE, i)
@@ -22,6 +22,11 @@ def parse_metrics(lines: DataFrame, job_id: str, column: str = "value") -> DataF
     )
 
 
+def odd_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that parse_metrics leaves out, empty and NULL ones included."""
+    return lines.where(~F.coalesce(F.col(column).rlike(LINE), F.lit(False)))
+
+
 def read_metrics_log(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     return parse_metrics(spark.read.text(path), job_id)
 

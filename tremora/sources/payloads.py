@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,15 +78,21 @@ def message_class(kind: str):
 def decode_payloads(payloads: DataFrame) -> DataFrame:
     """Turn ``payload`` into reading columns plus ``decode_error`` (NULL when it decoded).
 
-    A payload that does not decode keeps its row, with NULL readings; it stops neither
-    the job nor its neighbours. Absent fields decode to 0 or "". Other columns pass through.
+    A payload that does not decode keeps its row and its bytes (``bad_payload``), with NULL
+    readings; it stops neither the job nor its neighbours. Absent fields decode to 0 or "".
+    Other columns pass through.
     """
     others = [f for f in payloads.schema.fields if f.name != "payload"]
     schema = T.StructType(
-        [*others, *SENSOR_FIELDS, T.StructField("decode_error", T.StringType())]
+        [
+            *others,
+            *SENSOR_FIELDS,
+            T.StructField("decode_error", T.StringType()),
+            T.StructField("bad_payload", T.BinaryType()),
+        ]
     )
     passed = [f.name for f in others]
-    names = [*passed, *(name for name, _, _ in READING_WIRE), "decode_error"]
+    names = [*passed, *(name for name, _, _ in READING_WIRE), "decode_error", "bad_payload"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +109,9 @@ def decode_payloads(payloads: DataFrame) -> DataFrame:
                 *columns, errors = [
                     pa.concat_arrays(pair).take(pa.array(order)) for pair in zip(columns, parsed)
                 ]
+            kept = pc.if_else(errors.is_valid(), encoded.cast(pa.binary()), pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in passed), *columns, errors], names=names
+                [*(batch.column(n) for n in passed), *columns, errors, kept], names=names
             )
 
     return payloads.mapInArrow(decode, schema)
@@ -230,7 +238,7 @@ def _gather(data: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad). To use both, write ``decoded`` first so the payloads decode once."""
-    good = decoded.where(F.col("decode_error").isNull()).drop("decode_error")
+    good = decoded.where(F.col("decode_error").isNull()).drop("decode_error", "bad_payload")
     bad = decoded.where(F.col("decode_error").isNotNull())
     return good, bad.drop(*[f.name for f in SENSOR_FIELDS])
 

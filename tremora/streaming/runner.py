@@ -14,14 +14,15 @@ from tremora.session import ROCKSDB_PROVIDER
 
 
 @contextmanager
-def stream_settings(spark: SparkSession) -> Iterator[None]:
-    """RocksDB state, and as many state partitions as the cluster has cores.
+def stream_settings(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """RocksDB state in ``partitions`` parts, as many as the cluster has cores by default.
 
-    Both are fixed by a query's first start; a restart takes them from its checkpoint.
+    Both are fixed by a query's first start; a restart takes them from its checkpoint. So give
+    the number that the stream will need later if it first starts on a small cluster.
     """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
-        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+        "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
     }
     before = {name: spark.conf.get(name, None) for name in wanted}
     try:
@@ -110,3 +111,12 @@ def throughput(query: StreamingQuery) -> dict[str, float]:
         "processed_per_second": progress.processedRowsPerSecond,
         **stages,
     }
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were left out, in the batches still on record."""
+    return sum(
+        state.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for state in progress.stateOperators
+    )
