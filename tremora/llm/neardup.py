@@ -9,8 +9,9 @@ Steps
    first one, the hub. A group of similar classes thereby becomes connected with as many
    comparisons as it has members.
 3. Only in buckets that still hold more than one component the classes outside the largest one
-   are compared with all classes of other components. No pair of a bucket is left open: its two
-   classes are in one component or have been compared.
+   are compared with all classes of other components, unless the number of shingles they share
+   with any other class rules a link out. No pair of a bucket is left open: its two classes are
+   in one component, have been compared, or cannot be linked.
 4. A pair is a link if the full sets say so; components of the links are the groups.
 
 Candidates whose sketches are far apart are not looked up: the screen lies ``MARGIN`` below the
@@ -236,8 +237,11 @@ def most_differing_bits(similarity: float, samples: int) -> int:
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * differing / BITS)))
 
 
-def _links(docs, classes, pairs, width, percent, bits) -> DataFrame:
-    """Those of the candidate ``pairs`` (nid_a, nid_b) that the full sets confirm, as nodes a, b."""
+def _links(docs, classes, pairs, width, percent, bits, sets=None) -> DataFrame:
+    """Those of the candidate ``pairs`` (nid_a, nid_b) that the full sets confirm, as nodes a, b.
+
+    ``sets`` are the full sets of all classes in the pairs if they are known.
+    """
     side = classes.select("nid", "id", "node", "n_shingles", "sketch")
     a = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns])
     b = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
@@ -255,8 +259,9 @@ def _links(docs, classes, pairs, width, percent, bits) -> DataFrame:
         .select("id_a", "node_a", "id_b", "node_b")
     )
     near = stored(near, "near-pairs")
-    nodes = near.selectExpr("id_a AS id", "node_a AS node").union(near.selectExpr("id_b", "node_b"))
-    sets = stored(full_sets(docs, width, nodes.distinct()), "full-sets")
+    if sets is None:
+        nodes = near.selectExpr("id_a AS id", "node_a AS node").union(near.selectExpr("id_b", "node_b"))
+        sets = stored(full_sets(docs, width, nodes.distinct()), "full-sets")
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("bigint")
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return (
@@ -301,8 +306,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Same id, other set: such classes share a nid and meet in no bucket as two, so compare them.
     twins = classes.groupBy("nid").count().where("count > 1").selectExpr("nid AS nid_a", "nid AS nid_b")
-    open_pairs = _open_pairs(classes, shared, components(links)).union(twins).distinct()
-    more = _links(docs, classes, open_pairs, width, percent, bits)
+    pairs, sets = _open_pairs(docs, classes, shared, components(links), width, percent)
+    more = _links(docs, classes, pairs, width, percent, bits, sets)
+    more = more.union(_links(docs, classes, twins, width, percent, bits))
     roots = components(links.union(more))
 
     grouped = classes.join(roots, "node", "left").select(
@@ -330,25 +336,48 @@ def _id_of(node: str) -> Column:
     )
 
 
-def _open_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose classes are in different components and were not compared."""
-    roots = stored(
-        classes.select("nid", "node").join(roots, "node", "left")
-        .select("nid", F.coalesce("root", "node").alias("root")),
-        "class-roots",
-    )
-    members = stored(shared.join(roots, "nid"), "members")
+def _open_pairs(docs, classes, shared, roots, width, percent) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a bucket whose classes are in different components and were not compared, as far
+    as they can be links; and the full sets of the classes concerned.
+
+    A shingle that no other class of an open bucket has is in no intersection. If a class has
+    ``own`` such shingles of n, an intersection I with it is at most n - own, and the union is
+    n_a + n_b - I. Members of a large group that differ too much from all others are ruled out
+    by this count alone, each by itself, before pairs are made.
+    """
+    named = classes.select("nid", "node").join(roots, "node", "left")
+    named = stored(named.select("nid", F.coalesce("root", "node").alias("root")), "class-roots")
+    members = stored(shared.join(named, "nid"), "members")
     parts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     parts = parts.groupBy("bucket").agg(
         F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n")
     )
-    parts = stored(parts.where("parts > 1 AND n > 2").select("bucket", "most.root"), "open-buckets")
-    left = members.join(parts.withColumnRenamed("root", "most"), "bucket").where("nid <> hub")
-    left = stored(left, "open-members")
-    outside = left.where("root <> most").selectExpr("bucket", "nid AS nid_a", "root AS root_a")
-    return (
-        outside.join(left, "bucket")
+    parts = parts.where("parts > 1 AND n > 2").select("bucket", F.col("most.root").alias("most"))
+    left = members.join(stored(parts, "open-buckets"), "bucket").where("nid <> hub")
+    left = stored(left.select("bucket", "nid", "root", "most"), "open-members")
+
+    ids = left.select("nid").distinct()
+    concerned = stored(classes.select("nid", "id", "node", "n_shingles").join(ids, "nid"), "open-classes")
+    sets = stored(full_sets(docs, width, concerned.select("id", "node")), "open-sets")
+    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    alone = alone.agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    sized = concerned.join(own, "node", "left").select(
+        "nid", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own")
+    )
+    left = stored(left.join(stored(sized, "class-sizes"), "nid"), "sized-members")
+    least = stored(left.groupBy("bucket").agg(F.min("n").alias("least")), "least-sizes")
+    live = left.join(least, "bucket").where(f"(n - own) * 100 >= (least + own) * {percent}")
+    live = stored(live.select("bucket", "nid", "root", "most", "n", "own"), "live-members")
+    outside = live.where("root <> most").select(
+        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("nid", "root", "n", "own")]
+    )
+    most_common = F.least(F.col("n_a") - F.col("own_a"), F.col("n") - F.col("own"))
+    pairs = (
+        outside.join(live, "bucket")
         .where("root <> root_a AND (root = most OR nid_a < nid)")
+        .where(most_common * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent)
         .selectExpr("nid_a", "nid AS nid_b")
         .distinct()
     )
+    return pairs, sets
