@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tremora.llm.common import append_columns
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 256, 32, 5, 12
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS = 3000, 12, 8
+TRAIN_DOCS, TRAIN_CHUNKS, STEPS, BATCH = 3000, 12, 750, 32
 THRESHOLD = 0.3
 SEED = 7
 
@@ -132,8 +132,11 @@ class Adam:
             a -= rate * m / (np.sqrt(v) + 1e-8)
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Network:
-    """Fit by Adam on the logistic loss; the gradient of a maximum goes to where it was met."""
+def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Network:
+    """Fit by Adam on the logistic loss; the gradient of a maximum goes to where it was met.
+
+    A small sample is passed through more often, up to the same number of steps.
+    """
     network = Network.start()
     share = (sum(labels) + 1) / (len(labels) + 2)
     network.offset = float(np.log(share / (1 - share)))
@@ -145,9 +148,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Networ
     offset = np.array([network.offset])
     adam = Adam([network.filters, network.bias, network.weights, offset], 0.01)
     random = np.random.default_rng(SEED)
-    for _ in range(epochs):
+    batches = max(1, len(y) // BATCH)
+    for _ in range(-(-steps // batches)):
         order = random.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // 32)):
+        for batch in np.array_split(order, batches):
             part = [chunks[i] for i in batch]
             counts = np.array([len(c) for c in part])
             starts = np.cumsum(counts) - counts
