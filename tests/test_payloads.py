@@ -27,7 +27,8 @@ def test_junk_does_not_stop_its_neighbours(spark):
     assert sorted(readings) == [1, 4]
     assert readings[1].seismic_amplitude == 1.5 and readings[1].data_quality == 0
     assert readings[4].sensor_id == "" and readings[4].longitude == 0.0
-    assert {r.event_id: r.decode_error is not None for r in bad.collect()} == {2: True, 3: True}
+    kept = {r.event_id: (r.decode_error is not None, r.bad_payload) for r in bad.collect()}
+    assert kept == {2: (True, b"\xff\xff"), 3: (True, None)}
     assert ok.schema == READING
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tremora.operators import dedup, quality, spatial
 from tremora.operators.windows import DAY_MS, window_agg
+from tremora.plans import registry
 from tremora.schemas import AGGREGATE
 from tremora.sinks.streams import to_console, to_csv_files, to_memory
 from tremora.sinks.text import format_agg
@@ -48,6 +49,14 @@ def folder(slices, tmp_path_factory):
     return path
 
 
+@pytest.fixture(scope="module")
+def flushed(spark, slices, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stream") / "flushed")
+    write(slices, path, range(FILES))
+    registry._flush(spark).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def run(spark, stream, folder, name):
     with runner.stream_settings(spark):
         query = runner.append_to_table(stream, f"{folder}/{name}", f"{folder}/{name}-state")
@@ -93,8 +102,8 @@ def test_windows_by_change_log_are_whole(spark, folder, valid, tmp_path):
 
 
 @pytest.mark.parametrize("job", ["plain", "first seen", "last kept"])
-def test_composed_jobs_in_one_query(spark, folder, valid, tmp_path, job):
-    readings, first_seen = read_stream(spark, folder, 1), (20.0, 864_000_000)
+def test_composed_jobs_in_one_query(spark, flushed, valid, tmp_path, job):
+    readings, first_seen = read_stream(spark, flushed, 1), (20.0, 864_000_000)
     names = ["amplitude_threshold", "gap_ms", "ttl_ms"]
     if job == "plain":
         stream = jobs.filter_aggregate_stream(readings, "1 day", "1 hour")
@@ -107,11 +116,20 @@ def test_composed_jobs_in_one_query(spark, folder, valid, tmp_path, job):
         limits = dict(zip(names, LAST_KEPT))
         stream = jobs.last_kept_aggregate_stream(readings, "1 day", "1 hour", **limits)
         kept = dedup.dedup_last_kept(valid, *LAST_KEPT)
-    out, _ = run(spark, stream, tmp_path, "out")
-    # The windows behind the watermark are written, the last ones stay open.
+    out, query = run(spark, stream, tmp_path, "out")
     batch = format_agg(window_agg(kept, DAY_MS), with_noise=job != "last kept").select("line")
-    got = set(as_set(out.select("line")))
-    assert got < set(as_set(batch)) and len(got) > 0.9 * batch.count()
+    assert as_set(out.select("line")) == as_set(batch)
+    assert runner.late_rows(query) == 0
+
+
+def test_late_rows_are_counted(spark, flushed, slices, tmp_path):
+    stream = window_agg_stream(read_stream(spark, flushed, 1), "1 day", "1 hour")
+    run(spark, stream, tmp_path, "out")
+    again = f"{tmp_path}/in"
+    write(slices, again, [2, 3, 0])
+    stream = window_agg_stream(read_stream(spark, again, 1), "1 day", "1 hour")
+    _, query = run(spark, stream, tmp_path, "late")
+    assert runner.late_rows(query) > 0
 
 
 def test_restart_goes_on_where_it_stopped(spark, slices, valid, tmp_path):
