@@ -9,9 +9,10 @@ Steps
    first one, the hub. A group of similar classes thereby becomes connected with as many
    comparisons as it has members.
 3. Only in buckets that still hold more than one component the classes outside the largest one
-   are compared with all classes of other components, unless the number of shingles they share
-   with any other class rules a link out. No pair of a bucket is left open: its two classes are
-   in one component, have been compared, or cannot be linked.
+   are compared with all classes of other components. A second odd sketch, of the full set,
+   takes part: bits that differ cannot be more than shingles that differ, so too many of them
+   rule a link out for certain. No pair of a bucket is left open: its two classes are in one
+   component, have been compared, or cannot be linked.
 4. A pair is a link if the full sets say so; components of the links are the groups.
 
 Candidates whose sketches are far apart are not looked up: the screen lies ``MARGIN`` below the
@@ -42,6 +43,7 @@ BANDS = 40
 MISS = 1e-6
 MARGIN = 0.2
 BITS = 512
+PARITY = 1024  # bits of the odd sketch of a full set
 MOST_BROADCAST = 500_000
 
 U = np.uint64
@@ -128,6 +130,12 @@ def band_rows(similarity: float, bands: int = BANDS, miss: float = MISS) -> int:
     return rows
 
 
+def odd_sketch(values: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` places are hit by an odd number of the (distinct, mixed) values."""
+    place = (values % U(bits)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1)
+
+
 class Sketcher:
     """MinHash samples of a shingle set, as band keys and as an odd sketch."""
 
@@ -153,9 +161,7 @@ class Sketcher:
         keys = np.zeros(self.bands, U)
         for row in least.reshape(self.bands, self.rows).T:
             keys = mix(keys * U(STEPS[1]) + row)
-        bit = mix(least + self.lanes) % U(BITS)
-        parity = np.bincount(bit.astype(np.int64), minlength=BITS).astype(np.uint8) & 1
-        return mix(keys + self.band_lanes), np.packbits(parity)
+        return mix(keys + self.band_lanes), odd_sketch(mix(least + self.lanes), BITS)
 
 
 def _node(doc_id: int | None, shingles: np.ndarray) -> bytes:
@@ -167,12 +173,13 @@ def _node(doc_id: int | None, shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """Add n_shingles and, for sets that are not empty, node, bands and sketch."""
+    """Add n_shingles and, for sets that are not empty, node, bands, sketch and parity."""
     fields = [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.ArrayType(T.LongType())),
+        T.StructField("parity", T.ArrayType(T.LongType())),
     ]
 
     def start():
@@ -180,7 +187,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch):
             texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            sizes, nodes, bands, sketches = [], [], [], []
+            sizes, nodes, bands, sketches, parities = [], [], [], [], []
             for lo, hi in text_batches(texts):
                 for i, shingles in enumerate(shingler.sets(texts.slice(lo, hi - lo)), lo):
                     sizes.append(len(shingles))
@@ -189,13 +196,16 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
                         nodes.append(_node(ids[i], shingles))
                         bands.append(keys.view(np.int64))
                         sketches.append(bits.view(np.int64))
+                        parities.append(odd_sketch(shingles, PARITY).view(np.int64))
                     else:
-                        nodes.append(None), bands.append(None), sketches.append(None)
+                        for column in (nodes, bands, sketches, parities):
+                            column.append(None)
             return {
                 "n_shingles": pa.array(sizes, pa.int64()),
                 "node": pa.array(nodes, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64())),
                 "sketch": pa.array(sketches, pa.list_(pa.int64())),
+                "parity": pa.array(parities, pa.list_(pa.int64())),
             }
 
         return work
@@ -237,31 +247,29 @@ def most_differing_bits(similarity: float, samples: int) -> int:
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * differing / BITS)))
 
 
-def _links(docs, classes, pairs, width, percent, bits, sets=None) -> DataFrame:
-    """Those of the candidate ``pairs`` (nid_a, nid_b) that the full sets confirm, as nodes a, b.
-
-    ``sets`` are the full sets of all classes in the pairs if they are known.
-    """
-    side = classes.select("nid", "id", "node", "n_shingles", "sketch")
+def _links(docs, classes, pairs, width, percent, bits) -> DataFrame:
+    """Those of the candidate ``pairs`` (nid_a, nid_b) that the full sets confirm, as nodes a, b."""
+    side = classes.select("nid", "id", "node", "n_shingles", "sketch", "parity")
     a = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns])
     b = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
-    differ = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda total, x: total + x,
-    )
+
+    def differ(name: str) -> Column:
+        bits = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    sizes = F.col("n_shingles_a") + F.col("n_shingles_b")
     near = (
         pairs.join(a, "nid_a")
         .join(b, "nid_b")
         .where("node_a <> node_b")
         .where(F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent)
-        .where(differ <= bits)
+        .where(differ("sketch") <= bits)
+        .where(differ("parity") * (100 + percent) <= sizes * (100 - percent))
         .select("id_a", "node_a", "id_b", "node_b")
     )
     near = stored(near, "near-pairs")
-    if sets is None:
-        nodes = near.selectExpr("id_a AS id", "node_a AS node").union(near.selectExpr("id_b", "node_b"))
-        sets = stored(full_sets(docs, width, nodes.distinct()), "full-sets")
+    nodes = near.selectExpr("id_a AS id", "node_a AS node").union(near.selectExpr("id_b", "node_b"))
+    sets = stored(full_sets(docs, width, nodes.distinct()), "full-sets")
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("bigint")
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return (
@@ -292,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stored(signatures(keyed, width, rows), "signatures")
     whole = signed.where("node IS NOT NULL").withColumn("set_id", F.expr("substring(node, 10, 16)"))
     classes = whole.groupBy("set_id").agg(
-        F.min(F.struct("node", "doc_id", "n_shingles", "bands", "sketch")).alias("c")
+        F.min(F.struct("node", "doc_id", "n_shingles", "bands", "sketch", "parity")).alias("c")
     )
     classes = classes.select("set_id", "c.*").withColumnRenamed("doc_id", "id")
     classes = stored(classes.withColumn("nid", F.coalesce("id", F.xxhash64("set_id"))), "classes")
@@ -306,9 +314,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Same id, other set: such classes share a nid and meet in no bucket as two, so compare them.
     twins = classes.groupBy("nid").count().where("count > 1").selectExpr("nid AS nid_a", "nid AS nid_b")
-    pairs, sets = _open_pairs(docs, classes, shared, components(links), width, percent)
-    more = _links(docs, classes, pairs, width, percent, bits, sets)
-    more = more.union(_links(docs, classes, twins, width, percent, bits))
+    open_pairs = _open_pairs(classes, shared, components(links), percent).union(twins).distinct()
+    more = _links(docs, classes, open_pairs, width, percent, bits)
     roots = components(links.union(more))
 
     grouped = classes.join(roots, "node", "left").select(
@@ -336,14 +343,10 @@ def _id_of(node: str) -> Column:
     )
 
 
-def _open_pairs(docs, classes, shared, roots, width, percent) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a bucket whose classes are in different components and were not compared, as far
-    as they can be links; and the full sets of the classes concerned.
+def _open_pairs(classes, shared, roots, percent) -> DataFrame:
+    """Pairs of a bucket whose classes are in different components and were not compared.
 
-    A shingle that no other class of an open bucket has is in no intersection. If a class has
-    ``own`` such shingles of n, an intersection I with it is at most n - own, and the union is
-    n_a + n_b - I. Members of a large group that differ too much from all others are ruled out
-    by this count alone, each by itself, before pairs are made.
+    Pairs whose full-set parities rule out a link are no rows of the join.
     """
     named = classes.select("nid", "node").join(roots, "node", "left")
     named = stored(named.select("nid", F.coalesce("root", "node").alias("root")), "class-roots")
@@ -354,30 +357,17 @@ def _open_pairs(docs, classes, shared, roots, width, percent) -> tuple[DataFrame
     )
     parts = parts.where("parts > 1 AND n > 2").select("bucket", F.col("most.root").alias("most"))
     left = members.join(stored(parts, "open-buckets"), "bucket").where("nid <> hub")
-    left = stored(left.select("bucket", "nid", "root", "most"), "open-members")
-
-    ids = left.select("nid").distinct()
-    concerned = stored(classes.select("nid", "id", "node", "n_shingles").join(ids, "nid"), "open-classes")
-    sets = stored(full_sets(docs, width, concerned.select("id", "node")), "open-sets")
-    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
-    alone = alone.agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
-    own = alone.groupBy("node").agg(F.count("*").alias("own"))
-    sized = concerned.join(own, "node", "left").select(
-        "nid", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own")
-    )
-    left = stored(left.join(stored(sized, "class-sizes"), "nid"), "sized-members")
-    least = stored(left.groupBy("bucket").agg(F.min("n").alias("least")), "least-sizes")
-    live = left.join(least, "bucket").where(f"(n - own) * 100 >= (least + own) * {percent}")
-    live = stored(live.select("bucket", "nid", "root", "most", "n", "own"), "live-members")
-    outside = live.where("root <> most").select(
-        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("nid", "root", "n", "own")]
-    )
-    most_common = F.least(F.col("n_a") - F.col("own_a"), F.col("n") - F.col("own"))
-    pairs = (
-        outside.join(live, "bucket")
+    words = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY // 64)]
+    sized = classes.select("nid", F.col("n_shingles").alias("n"), *words)
+    left = left.select("bucket", "nid", "root", "most").join(sized, "nid")
+    left = stored(left, "open-members")
+    outside = left.where("root <> most").drop("most")
+    outside = outside.withColumnsRenamed({c: f"{c}_a" for c in outside.columns if c != "bucket"})
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_a"))) for i in range(PARITY // 64)), F.lit(0))
+    return (
+        outside.join(left, "bucket")
         .where("root <> root_a AND (root = most OR nid_a < nid)")
-        .where(most_common * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent)
+        .where(differ * (100 + percent) <= (F.col("n_a") + F.col("n")) * (100 - percent))
         .selectExpr("nid_a", "nid AS nid_b")
         .distinct()
     )
-    return pairs, sets
