@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, neighbours, pii, quality, secrets
@@ -46,12 +46,15 @@ def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def count_of(kind: str) -> Column:
+    """Number of spans of a kind; added spans have kinds of their own."""
+    own = F.filter("spans", lambda span: span["kind"] == kind)
+    return F.size(own).cast("bigint").alias(f"n_{kind}")
+
+
 def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.with_secrets(table(spark, sf, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for kind in secrets.BASE
-    ]
+    counts = [count_of(kind) for kind in secrets.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     return found.select(
         "doc_id",
@@ -85,10 +88,7 @@ def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.with_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for kind in pii.KINDS
-    ]
+    counts = [count_of(kind) for kind in pii.KINDS]
     return found.select(
         "doc_id",
         *counts,
