@@ -26,6 +26,12 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*parts)
 
 
+def joined_spans(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    place = lambda s: (s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *place(s))), ",")
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcasting if it is proven to have at most ``most_rows`` rows.
 

@@ -137,7 +137,8 @@ def with_language(docs: DataFrame, classifier: Classifier) -> DataFrame:
                     languages, values = shared.value.predict(part)
                     named += languages
                     scores.append(values)
-            return {"lang_pred": pa.array(named, pa.string()), "score": pa.array(np.concatenate(scores), pa.float64())}
+            score = pa.array(np.concatenate(scores), pa.float64())
+            return {"lang_pred": pa.array(named, pa.string()), "score": score}
 
         return work
 

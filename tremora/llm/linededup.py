@@ -69,7 +69,8 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     together, and each wanted one takes the last count before it.
     """
     keys = ["doc_id", DOC_KEY, "segment"]
-    single = lines.where(F.col("words") >= min_words).select("doc_id", DOC_KEY, F.col("i").alias("start"), F.lit(1).alias("size"))
+    single = lines.where(F.col("words") >= min_words)
+    single = single.select("doc_id", DOC_KEY, F.col("i").alias("start"), F.lit(1).alias("size"))
     whole = Window.partitionBy(DOC_KEY, "segment")
     rest = lines.withColumns({"total": F.sum("words").over(whole), "shortest": F.min("words").over(whole)})
     rest = rest.where((F.col("total") >= min_words) & (F.col("shortest") < min_words))
@@ -120,7 +121,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = None
     for k, level in enumerate(suffix_ranks(lines, longest)):
         # Two windows of 2^k lines, the first and the last, tell runs of that size apart.
-        own = runs.where(f"size >= {1 << k} AND size < {2 << k}").withColumn("tail", F.expr(f"start + size - {1 << k}"))
+        own = runs.where(f"size >= {1 << k} AND size < {2 << k}")
+        own = own.withColumn("tail", F.expr(f"start + size - {1 << k}"))
         ranks = level.select(DOC_KEY, F.col("i").alias("start"), F.col("rank").alias("head_rank"))
         own = own.join(ranks, [DOC_KEY, "start"])
         if k:

@@ -257,12 +257,13 @@ def _links(docs, classes, pairs, width, percent, bits) -> DataFrame:
         bits = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
 
-    sizes = F.col("n_shingles_a") + F.col("n_shingles_b")
+    sides = [F.col("n_shingles_a"), F.col("n_shingles_b")]
+    sizes = sides[0] + sides[1]
     near = (
         pairs.join(a, "nid_a")
         .join(b, "nid_b")
         .where("node_a <> node_b")
-        .where(F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent)
+        .where(F.least(*sides) * 100 >= F.greatest(*sides) * percent)
         .where(differ("sketch") <= bits)
         .where(differ("parity") * (100 + percent) <= sizes * (100 - percent))
         .select("id_a", "node_a", "id_b", "node_b")

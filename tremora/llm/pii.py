@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,7 +226,11 @@ SPAN = T.StructType([
     T.StructField("rank", T.IntegerType()),
     T.StructField("end", T.LongType()),
 ])
-CANDIDATE = T.StructType([*SPAN.fields, T.StructField("code", T.IntegerType()), T.StructField("free", T.BooleanType())])
+CANDIDATE = T.StructType([
+    *SPAN.fields,
+    T.StructField("code", T.IntegerType()),
+    T.StructField("free", T.BooleanType()),
+])
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
@@ -274,8 +278,11 @@ def with_personal_data(docs: DataFrame) -> DataFrame:
     found = stored(with_candidates(docs), "pii-candidates")
     counts = found.select(F.explode("candidates.code").alias("code")).groupBy("code").count().collect()
     codes = accepted_codes({r["code"]: r["count"] for r in counts})
-    more = F.filter("candidates", lambda c: c["free"] & c["code"].isin(codes)) if codes else F.filter("candidates", lambda c: F.lit(False))
-    plain = F.transform(more, lambda c: F.struct(c["start"].alias("start"), (c["rank"] + len(KINDS)).cast("int").alias("rank"), c["end"].alias("end")))
+    more = F.filter("candidates", lambda c: c["free"] & c["code"].isin(codes))
+    rank = lambda c: (c["rank"] + len(KINDS)).cast("int").alias("rank")
+    plain = F.transform(
+        more, lambda c: F.struct(c["start"].alias("start"), rank(c), c["end"].alias("end"))
+    )
     names = F.array(*map(F.lit, [*KINDS, *ADDED]))
     spans = F.transform(
         F.array_sort(F.concat("spans", plain)),
@@ -285,10 +292,3 @@ def with_personal_data(docs: DataFrame) -> DataFrame:
         ),
     )
     return found.withColumn("spans", spans).drop("candidates")
-
-
-def joined_spans(spans: Column) -> Column:
-    """kind:start:end of each span, comma-joined."""
-    return F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
-    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, neighbours, pii, quality, secrets
+from tremora.llm.common import joined_spans
 from tremora.llm.oracles import oracles as oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +60,8 @@ def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id",
         *counts,
-        F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"),
-        secrets.joined_spans("spans").alias("spans"),
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
     )
 
 
@@ -92,8 +93,8 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id",
         *counts,
-        F.sha2(pii.joined_spans(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
-        pii.joined_spans("spans").alias("spans"),
+        F.sha2(joined_spans(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
     )
 
 

@@ -59,7 +59,8 @@ def found_parts(docs: DataFrame) -> DataFrame:
         some = some | (F.size(kind) > 0)
     pieces = [
         F.when(F.size(kind) > 0, F.struct(
-            F.lit(kind).alias("kind"), F.arrays_zip(F.col(kind).alias("match"), F.split("text", pattern).alias("gap")).alias("all")
+            F.lit(kind).alias("kind"),
+            F.arrays_zip(F.col(kind).alias("match"), F.split("text", pattern).alias("gap")).alias("all"),
         ))
         for kind, (pattern, _, _) in KINDS.items()
     ]
@@ -73,7 +74,8 @@ def found_parts(docs: DataFrame) -> DataFrame:
     for kind, (pattern, group, least) in KINDS.items():
         measured = F.regexp_extract("match", pattern, group) if group else F.col("match")
         enough = F.when(F.col("kind") == kind, F.length(measured) >= least).otherwise(enough)
-    placed = each.select(DOC_KEY, "kind", (end - F.length("match")).alias("start"), end.alias("end"), enough.alias("enough"))
+    start = end - F.length("match")
+    placed = each.select(DOC_KEY, "kind", start.alias("start"), end.alias("end"), enough.alias("enough"))
     return placed.where("enough").drop("enough")
 
 
@@ -114,10 +116,3 @@ def with_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     joined = keyed.join(spans, F.col(DOC_KEY) == F.col("__key"), "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return joined.withColumn("spans", F.coalesce("spans", none)).drop(DOC_KEY, "__key")
-
-
-def joined_spans(spans):
-    """kind:start:end of each span, comma-joined."""
-    return F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
-    )
