@@ -6,11 +6,10 @@ import string
 
 from tremora.llm.chat import CODES, CONTROL, END, MORE, TEXT, TURN
 
-WORDS = (
-    "regexp_extract_all(translate(coalesce(text, ''), "
-    f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'), "
-    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LOWERED = (
+    f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 )
+WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -68,6 +67,34 @@ SELECT doc_id, coalesce(rest, '') AS text, lang, source, n_chars, n_lines, n_rem
 FROM documents JOIN kept USING (doc_id)
 """
 
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(LOWERED, '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE
+      WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g
+    FROM d)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, b FROM reach JOIN edge ON edge.a = reach.other
+),
+root AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM root LEFT JOIN n USING (doc_id)
+""".replace("LOWERED", LOWERED)
+
 
 def _escaped(column: str) -> str:
     for old, new in [("%", "%25"), *((c, CODES[c[0]] + c[1:]) for c in CONTROL)]:
@@ -96,6 +123,7 @@ FROM o GROUP BY conv_id
 def oracles() -> dict[str, str]:
     return {
         "op1_decontaminate": DECONTAMINATION,
+        "op3_neardup": NEAR_DUPLICATES,
         "op7_chat": CHAT,
         "op9_linededup": LINE_DEDUP,
     }
