@@ -30,12 +30,18 @@ def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class LastKept(StatefulProcessor):
-    """Drops readings close to the last kept one; see operators.dedup.flag_last_kept."""
+    """Drops readings close to the last kept one; see operators.dedup.flag_last_kept.
 
-    def __init__(self, amplitude_threshold: float, gap_ms: int, ttl_ms: int):
+    With event time, a baseline is removed once the watermark has passed its end: no reading
+    that still counts could meet it.
+    """
+
+    def __init__(self, amplitude_threshold: float, gap_ms: int, ttl_ms: int, timed: bool = False):
         self.limits = (amplitude_threshold, gap_ms, ttl_ms)
+        self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.baseline = handle.getValueState("baseline", "amp double, ts bigint, created bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -53,8 +59,17 @@ class LastKept(StatefulProcessor):
                 amp, ts = a, t
             kept.append(keep)
         self.baseline.update((amp, ts, created))
+        if self.timed:
+            self.handle.registerTimer(created + ttl_ms + 1)
         yield frame[kept]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.baseline.get()
+        # A timer of an earlier baseline leaves the present one alone.
+        if state and expiredTimerInfo.getExpiryTimeInMs() > state[2] + self.limits[2]:
+            self.baseline.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -120,7 +135,8 @@ def dedup_last_kept_stream(
     With ``delay`` the output carries ``event_time`` under a watermark, so that
     window_agg_stream can follow in the same query.
     """
-    return _per_sensor(readings, LastKept(amplitude_threshold, gap_ms, ttl_ms), delay)
+    processor = LastKept(amplitude_threshold, gap_ms, ttl_ms, timed=delay is not None)
+    return _per_sensor(readings, processor, delay)
 
 
 def dedup_first_seen_stream(
