@@ -56,6 +56,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 WORDS = "__words"
+PART = 2 << 20  # bytes of text that are encoded together
 SIDE_BY_SIDE = 48  # bytes of the longest word that is merged in a matrix
 BASE = 1 << 31
 NO_PAIR = 1 << 40
@@ -364,6 +365,38 @@ class Encoder:
         return flat, totals[ends[1:]] - totals[ends[:-1]]
 
 
+def _encoding(vocabulary: Vocabulary, lexicon: str):
+    """A function from an Arrow batch's texts and words to packed ids."""
+    encoder = Encoder(vocabulary, Lexicon(np.load(SparkFiles.get(lexicon), mmap_mode="r")))
+
+    def pack(texts: pa.Array, words: pa.ListArray) -> list[bytes]:
+        made = []
+        for lo, hi in text_batches(texts, PART):
+            flat, sizes = encoder.encode(words.slice(lo, hi - lo))
+            ends = np.cumsum(sizes)
+            made += [flat[e - n : e].tobytes() for e, n in zip(ends, sizes)]
+        return made
+
+    return pack
+
+
+def _decoding(vocabulary: Vocabulary):
+    """A function from packed ids to text."""
+    lengths = np.array([len(t) for t in vocabulary.tokens], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    blob = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
+
+    def text_of(packed: bytes | None) -> str:
+        ids = np.frombuffer(packed or b"", "<u4")
+        parts = [
+            blob[_ragged(starts[i], lengths[i])].tobytes()
+            for i in np.array_split(ids, len(ids) // 200_000 + 1)
+        ]
+        return b"".join(parts).decode("utf-8", errors="replace")
+
+    return text_of
+
+
 def encode(
     df: DataFrame,
     vocabulary: Vocabulary,
@@ -375,17 +408,10 @@ def encode(
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():
-        mapped = np.load(SparkFiles.get(lexicon), mmap_mode="r")
-        encoder = Encoder(shared.value, Lexicon(mapped))
+        pack = _encoding(shared.value, lexicon)
 
         def work(batch: pa.RecordBatch):
-            column = batch.column(WORDS)
-            made = []
-            for lo, hi in text_batches(batch.column(text)):
-                flat, sizes = encoder.encode(column.slice(lo, hi - lo))
-                ends = np.cumsum(sizes)
-                made += [flat[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-            return {output: pa.array(made, pa.binary())}
+            return {output: pa.array(pack(batch.column(text), batch.column(WORDS)), pa.binary())}
 
         return work
 
@@ -400,21 +426,10 @@ def decode(
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():
-        pieces = shared.value.tokens
-        lengths = np.array([len(t) for t in pieces], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        blob = np.frombuffer(b"".join(pieces), np.uint8)
+        text_of = _decoding(shared.value)
 
         def work(batch: pa.RecordBatch):
-            made = []
-            for value in batch.column(tokens):
-                ids = np.frombuffer(value.as_py() or b"", "<u4")
-                parts = [
-                    blob[_ragged(starts[i], lengths[i])].tobytes()
-                    for i in np.array_split(ids, len(ids) // 500_000 + 1)
-                ]
-                made.append(b"".join(parts).decode("utf-8", errors="replace"))
-            return {output: pa.array(made, pa.string())}
+            return {output: pa.array([text_of(v.as_py()) for v in batch.column(tokens)], pa.string())}
 
         return work
 
@@ -422,10 +437,26 @@ def decode(
 
 
 def encode_and_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Both directions over a lexicon of the frame's own frequent words."""
+    """Add tokens and, decoded from them, decoded, over a lexicon of the frame's own frequent
+    words. One pass, so a task has one Python worker."""
     vocabulary = Vocabulary(path)
     lexicon = build_lexicon(df, vocabulary, text)
-    return decode(encode(df, vocabulary, lexicon, text), vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def start():
+        pack, text_of = _encoding(shared.value, lexicon), _decoding(shared.value)
+
+        def work(batch: pa.RecordBatch):
+            packed = pack(batch.column(text), batch.column(WORDS))
+            return {
+                "tokens": pa.array(packed, pa.binary()),
+                "decoded": pa.array([text_of(p) for p in packed], pa.string()),
+            }
+
+        return work
+
+    fields = [T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return append_columns(with_words(df, vocabulary, text, WORDS), start, fields, drop=[WORDS])
 
 
 def digests(coded: DataFrame) -> DataFrame:

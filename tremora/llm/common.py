@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 DOC_KEY = "__doc"
 #: Arrow batches on their way to Python: rows differ in size by orders of magnitude.
-BATCH_ROWS, BATCH_BYTES = "1000", "16m"
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
 def row_key(*columns: str) -> Column:
