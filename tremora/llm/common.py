@@ -82,7 +82,7 @@ def append_columns(
     return df.mapInArrow(run, schema)
 
 
-def text_batches(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_batches(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of about ``most_bytes`` each; one text is never cut."""
     import numpy as np
     import pyarrow.compute as pc
