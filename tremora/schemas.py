@@ -51,17 +51,5 @@ METRIC_SAMPLE = T.StructType(
     ]
 )
 
-# The generic event table the fixture views read.
-EVENT = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)
-
 # Order of a sensor's readings everywhere in this package.
 READING_ORDER = ("collect_timestamp", "event_id")
