@@ -409,6 +409,10 @@ def oracles() -> dict[str, str]:
         f"WHERE ts >= 1706659200 - 604800), {_sustained('recent')}, {RECOMMENDED}\n"
         + f"SELECT sample_id, job_id, ts, {ALERT_TEXT} AS alert FROM recommended "
         "WHERE action <> 'none'",
+        "log_alerts": f"WITH {METRICS}, logged AS (SELECT * REPLACE (round(cpu, 4) AS cpu, "
+        "6 AS parallelism, 4 AS worker_count) FROM metrics WHERE ts >= 1706659200 - 604800), "
+        f"{_sustained('logged')}, {RECOMMENDED}\n"
+        + f"SELECT job_id, ts, {ALERT_TEXT} AS alert FROM recommended WHERE action <> 'none'",
         "stage_counts": last_kept
         + """SELECT 'read' AS stage, count(*) AS records FROM readings
             UNION ALL SELECT 'valid', count(*) FROM valid

@@ -197,6 +197,18 @@ def metrics_log_odd(spark: SparkSession, sf: str) -> DataFrame:
     return odd.select(F.regexp_extract("value", r"^\? (\d+),", 1).cast("bigint").alias("ts"))
 
 
+def log_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """From text logs, a folder per job, to alerts at a fixed size of the jobs."""
+    folder = shared_folder(spark, "job-logs")
+    samples = events.metrics(spark, sf)
+    lines = samples.select("job_id", metrics.log_line().alias("value"))
+    lines.write.partitionBy("job_id").text(folder)
+    logged = metrics.read_job_logs(spark, folder).withColumns(
+        {"parallelism": F.lit(6), "worker_count": F.lit(4)}
+    )
+    return jobs.scaling_alerts(logged, NOW, POLICY).select("job_id", "ts", "alert")
+
+
 # --- quality ------------------------------------------------------------------------
 
 
@@ -365,6 +377,7 @@ def registered() -> dict[str, Query]:
         "bounded_read": bounded_read,
         "metrics_log": metrics_log,
         "metrics_log_odd": metrics_log_odd,
+        "log_alerts": log_alerts,
         "valid_readings": _valid,
         "reject_report": reject_report,
         "reject_counts": lambda s, d: quality.reject_counts(events.readings(s, d)),
