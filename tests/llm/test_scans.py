@@ -197,6 +197,34 @@ def test_language_cases(spark):
     assert langid.with_language(docs.limit(0), classifier).count() == 0
 
 
+def test_language_of_texts_of_several_mb(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").where("lang is not null and text is not null")
+    held_out = quality.fold("doc_id", 4) == 2
+    classifier = langid.fit(docs, ~held_out)
+    random_ = random.Random(3)
+    ids = ["".join(random_.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12)) for _ in range(40_000)]
+    words: dict = {}
+    for r in docs.where(held_out).orderBy("doc_id").collect():
+        words.setdefault(r.lang, []).extend(r.text.split())
+    for lang, known in words.items():
+        text = " ".join(random_.choice(ids) if random_.random() < 0.05 else random_.choice(known) for _ in range(600_000))
+        assert len(text) > 3_000_000
+        assert classifier.predict([text])[0] == [lang]
+
+
+def test_language_kernel_is_exact():
+    piece = "Ça va, ça alors".lower().encode()
+    every = {piece[i : i + n] for n in range(1, 5) for i in range(len(piece) - n + 1)}
+    found = langid.grams(np.frombuffer(piece, np.uint8))
+    assert len(found) == len(set(found)) == len(every)
+    text = "abcd" * 5000
+    assert b"".join(p.tobytes()[:-3] for p in langid.pieces(text)) == text.encode()[:-3]
+    classifier = langid.train(["the cat sat", "der hund lief", text], ["en", "de", "xx"])
+    by_gram = classifier.values(["the hund", text])
+    classifier.table = None
+    assert np.allclose(by_gram, classifier.values(["the hund", text]))
+
+
 def test_quality_on_held_out_documents(spark, data_dir):
     found = contract.queries()["op10_quality"](spark, data_dir)
     labels = spark.read.parquet(f"{data_dir}/labels.parquet").select("doc_id", "quality")

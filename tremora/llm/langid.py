@@ -1,14 +1,18 @@
 """Language identification with string kernels.
 
-The kernel of two texts is the number of n-grams of 1 to ``LONGEST`` bytes that occur in both,
-over the geometric mean of the numbers that occur in either (blended spectrum, presence only).
-N-grams are hashed into ``BUCKETS`` places. Landmark texts give a Nyström map, on which kernel
-ridge regression is solved once per language against the rest; a text's values are two matrix
-products for a whole batch.
+The kernel of two pieces of text is the number of n-grams of 1 to ``LONGEST`` bytes that occur in
+both, over the geometric mean of the numbers that occur in either (blended spectrum, presence
+only). N-grams are compared as they are, not by a hash. Landmark pieces give a Nyström map, on
+which kernel ridge regression is solved once per language against the rest.
+
+Presence says less the longer a text is: in some MB nearly every n-gram occurs. So a text is read
+as consecutive pieces of equal size, at most ``PIECE`` bytes, that cover all of it, and its values
+are the mean of theirs; in learning as in prediction. Pieces overlap by ``LONGEST - 1`` bytes, so
+no n-gram is lost between them.
 
 Learning takes a bounded sample of labelled texts on the driver (``TRAIN_PER_LANG`` per
-language, of which ``LANDMARKS`` serve as landmarks); prediction reads every byte of every text,
-in the tasks, and nothing but the text.
+language, of whose pieces ``LANDMARKS`` serve as landmarks, over all languages); prediction reads
+every byte of every text, in the tasks, and nothing but the text.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0. Labels that are
 null do not count. Without any labelled text all are ``und``. Ties go to the language first in
@@ -28,46 +32,98 @@ from pyspark.sql import types as T
 
 from tremora.llm.common import append_columns, text_batches
 
-LONGEST, BUCKETS = 4, 1 << 15
+LONGEST, PIECE = 4, 4096
+SYMBOL = 9  # bits of a byte in an n-gram: 1 to 256, 0 behind the end
+MOST_CELLS = 1 << 24  # of a table of n-grams by languages
 TRAIN_PER_LANG, LANDMARKS, MOST_LANGS = 400, 96, 200
 RIDGE = 1e-3
 SHARPNESS = 6.0
 LETTER = regex.compile(r"\p{L}")
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """Which hashed n-grams occur in each text, as a matrix of zeros and ones."""
-    blobs = [t.lower().encode() for t in texts]
-    sizes = np.array([len(b) for b in blobs])
-    found = np.zeros((len(texts), BUCKETS), np.float32)
-    data = np.frombuffer(b"".join(blobs), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    value = np.zeros(len(data), np.uint32)
-    for n in range(1, LONGEST + 1):
-        if len(data) < n:
-            break
-        value = value[: len(data) - n + 1] * np.uint32(257) + data[n - 1 :] + np.uint32(1)
-        mixed = (value ^ (value >> np.uint32(15))) * np.uint32(2654435761)
-        whole = owner[: len(value)] == owner[n - 1 :]
-        found[owner[: len(value)][whole], (mixed >> np.uint32(17))[whole]] = 1
-    return found
+def pieces(text: str) -> list[np.ndarray]:
+    """The bytes of a text in lower case, in consecutive pieces of equal size."""
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    bounds = np.linspace(0, len(data), max(1, -(-len(data) // PIECE)) + 1).astype(int)
+    return [data[lo : hi + LONGEST - 1] for lo, hi in zip(bounds, bounds[1:])]
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
+def grams(piece: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a piece as numbers, in order. A longer one is a larger number."""
+    symbols = np.zeros(len(piece) + LONGEST - 1, np.int64)
+    symbols[: len(piece)] = piece.astype(np.int64) + 1
+    value = symbols[: len(piece)].copy()
+    for n in range(1, LONGEST):
+        value = value << SYMBOL | symbols[n : n + len(piece)]
+    value, found = _distinct(np.sort(value)), []
+    for _ in range(LONGEST):
+        found.append(value[value & (1 << SYMBOL) - 1 != 0])
+        value = _distinct(value >> SYMBOL)
+    return np.concatenate(found[::-1])
+
+
+@dataclass
+class Landmarks:
+    grams: np.ndarray  # those of all landmarks, in order
+    starts: np.ndarray  # of each n-gram's landmarks in owners, and the end
+    owners: np.ndarray
+    sizes: np.ndarray  # n-grams of each landmark
+
+    @classmethod
+    def of(cls, chosen: list[np.ndarray]) -> Landmarks:
+        sizes = np.array([len(g) for g in chosen])
+        every, at = np.unique(np.concatenate(chosen), return_inverse=True)
+        owners = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes)[np.argsort(at, kind="stable")]
+        starts = np.append(0, np.cumsum(np.bincount(at, minlength=len(every))))
+        return cls(every, starts, owners, sizes)
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Where the n-grams of a piece are among the landmarks'."""
+        at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
+        return at[self.grams[at] == found]
+
+    def kernel(self, found: np.ndarray) -> np.ndarray:
+        at = self.places(found)
+        first, many = self.starts[at], self.starts[at + 1] - self.starts[at]
+        each = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(self.owners[each], minlength=len(self.sizes))
+        return common / np.sqrt(self.sizes * max(1, len(found)))
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """What each n-gram adds to the values: ``kernel(g) @ weights`` is the sum of its rows for
+        g, over the root of the number of n-grams."""
+        made = np.zeros((len(self.grams), weights.shape[1]))
+        each = np.repeat(np.arange(len(self.grams)), np.diff(self.starts))
+        for n, size in enumerate(self.sizes):
+            made[each[self.owners == n]] += weights[n] / np.sqrt(size)
+        return made
 
 
 @dataclass
 class Classifier:
     languages: list[str]
-    landmarks: np.ndarray  # BUCKETS x landmarks, columns of length 1
+    landmarks: Landmarks | None
     weights: np.ndarray  # landmarks x languages: the Nyström map times the regression
+    table: np.ndarray | None  # the same by n-gram, if small enough
 
     def values(self, texts: list[str]) -> np.ndarray:
-        return _kernel(presence(texts), self.landmarks) @ self.weights
+        return np.array([np.mean([self._piece(grams(p)) for p in pieces(t)], axis=0) for t in texts])
+
+    def _piece(self, found: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            return self.landmarks.kernel(found) @ self.weights
+        return self.table[self.landmarks.places(found)].sum(axis=0) / np.sqrt(max(1, len(found)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         named, scores = ["und"] * len(texts), np.zeros(len(texts))
         real = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         if not real or not self.languages:
             return named, scores
-        value = SHARPNESS * self.values([texts[i] for i in real]).astype(np.float64)
+        value = SHARPNESS * self.values([texts[i] for i in real])
         share = np.exp(value - value.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         best = share.argmax(axis=1)
@@ -76,36 +132,31 @@ class Classifier:
         return named, scores
 
 
-def _kernel(found: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))
-    return (found @ landmarks) / size
-
-
 def train(texts: list[str], labels: list[str]) -> Classifier:
     languages = sorted(set(labels))
     if not languages:
-        return Classifier([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
-    found = presence(texts)
-    # Landmarks: the first texts of each language in turn.
+        return Classifier([], None, np.zeros((0, 0)), None)
+    cut = [pieces(t) for t in texts]
+    # Landmarks: the first pieces of each language's texts in turn, then the second ones.
     turn: dict[str, int] = {}
     order = []
-    for i, label in enumerate(labels):
-        turn[label] = turn.get(label, -1) + 1
-        order.append((turn[label], label, i))
-    chosen = [i for _, _, i in sorted(order)[:LANDMARKS]]
-    landmarks = found[chosen].T / np.sqrt(np.maximum(found[chosen].sum(axis=1), 1))
-    among = _kernel(found[chosen], landmarks).astype(np.float64)
-    roots, vectors = np.linalg.eigh(among)
+    for n, i in sorted((n, i) for i, parts in enumerate(cut) for n in range(len(parts))):
+        turn[labels[i]] = turn.get(labels[i], -1) + 1
+        order.append((turn[labels[i]], labels[i], i, n))
+    chosen = [grams(cut[i][n]) for _, _, i, n in sorted(order)[:LANDMARKS]]
+    landmarks = Landmarks.of(chosen)
+    roots, vectors = np.linalg.eigh(np.array([landmarks.kernel(g) for g in chosen]))
     good = roots > 1e-6 * roots.max()
     mapping = vectors[:, good] / np.sqrt(roots[good])
-    features = _kernel(found, landmarks) @ mapping
+    features = np.array([np.mean([landmarks.kernel(grams(p)) for p in parts], axis=0) for parts in cut]) @ mapping
     target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
     # Rows weigh so that each language counts alike.
     share = np.array([labels.count(x) for x in labels])[:, None]
     weighted = features / share
     left = weighted.T @ features + RIDGE * np.eye(features.shape[1]) / len(languages)
-    solved = np.linalg.solve(left, weighted.T @ target)
-    return Classifier(languages, landmarks.astype(np.float32), (mapping @ solved).astype(np.float32))
+    weights = mapping @ np.linalg.solve(left, weighted.T @ target)
+    fits = len(landmarks.grams) * len(languages) <= MOST_CELLS
+    return Classifier(languages, landmarks, weights, landmarks.table(weights) if fits else None)
 
 
 def fit(docs: DataFrame, usable: Column) -> Classifier:
