@@ -225,6 +225,19 @@ def test_language_kernel_is_exact():
     assert np.allclose(by_gram, classifier.values(["the hund", text]))
 
 
+def test_every_language_is_learned(spark):
+    random_ = random.Random(7)
+    rows = []
+    for n in range(250):
+        words = ["".join(random_.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        rows += [(3 * n + i, " ".join(random_.sample(words, 12)), f"l{n:03}") for i in range(3)]
+    docs = spark.createDataFrame([*rows, (None, "12 !", "none")], TEXT + ", lang string")
+    classifier = langid.fit(docs, F.lit(True))
+    assert classifier.languages == sorted({r[2] for r in rows})
+    named, _ = classifier.predict([r[1] for r in rows])
+    assert sum(n == r[2] for n, r in zip(named, rows)) >= 0.98 * len(rows)
+
+
 def test_quality_on_held_out_documents(spark, data_dir):
     found = contract.queries()["op10_quality"](spark, data_dir)
     labels = spark.read.parquet(f"{data_dir}/labels.parquet").select("doc_id", "quality")

@@ -10,9 +10,11 @@ as consecutive pieces of equal size, at most ``PIECE`` bytes, that cover all of
 are the mean of theirs; in learning as in prediction. Pieces overlap by ``LONGEST - 1`` bytes, so
 no n-gram is lost between them.
 
-Learning takes a bounded sample of labelled texts on the driver (``TRAIN_PER_LANG`` per
-language, of whose pieces ``LANDMARKS`` serve as landmarks, over all languages); prediction reads
-every byte of every text, in the tasks, and nothing but the text.
+Learning takes a bounded sample of labelled texts on the driver: about ``TRAIN_PER_LANG`` of each
+language, fewer if all together would be more than ``TRAIN_ALL``, but at least one. Every language
+with a usable text is learned. ``LANDMARKS`` of the texts' pieces, over all languages, serve as
+landmarks, or one of each language if there are more. Prediction reads every byte of every text,
+in the tasks, and nothing but the text.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0. Labels that are
 null do not count. Without any labelled text all are ``und``. Ties go to the language first in
@@ -30,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremora.llm.common import append_columns, text_batches
+from tremora.llm.common import append_columns, small, text_batches
 
 LONGEST, PIECE = 4, 4096
 SYMBOL = 9  # bits of a byte in an n-gram: 1 to 256, 0 behind the end
 MOST_CELLS = 1 << 24  # of a table of n-grams by languages
-TRAIN_PER_LANG, LANDMARKS, MOST_LANGS = 400, 96, 200
+MOST_BROADCAST = 100_000
+TRAIN_PER_LANG, TRAIN_ALL, LANDMARKS = 400, 80_000, 96
 RIDGE = 1e-3
 SHARPNESS = 6.0
 LETTER = regex.compile(r"\p{L}")
@@ -143,33 +146,42 @@ def train(texts: list[str], labels: list[str]) -> Classifier:
     for n, i in sorted((n, i) for i, parts in enumerate(cut) for n in range(len(parts))):
         turn[labels[i]] = turn.get(labels[i], -1) + 1
         order.append((turn[labels[i]], labels[i], i, n))
-    chosen = [grams(cut[i][n]) for _, _, i, n in sorted(order)[:LANDMARKS]]
+    chosen = [grams(cut[i][n]) for _, _, i, n in sorted(order)[: max(LANDMARKS, len(languages))]]
     landmarks = Landmarks.of(chosen)
     roots, vectors = np.linalg.eigh(np.array([landmarks.kernel(g) for g in chosen]))
     good = roots > 1e-6 * roots.max()
     mapping = vectors[:, good] / np.sqrt(roots[good])
-    features = np.array([np.mean([landmarks.kernel(grams(p)) for p in parts], axis=0) for parts in cut]) @ mapping
-    target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
-    # Rows weigh so that each language counts alike.
-    share = np.array([labels.count(x) for x in labels])[:, None]
-    weighted = features / share
-    left = weighted.T @ features + RIDGE * np.eye(features.shape[1]) / len(languages)
-    weights = mapping @ np.linalg.solve(left, weighted.T @ target)
+    # Rows weigh so that each language counts alike. Blocks of texts bound the memory.
+    number = {x: n for n, x in enumerate(languages)}
+    of = np.array([number[x] for x in labels])
+    rows = np.bincount(of)
+    left = RIDGE * np.eye(mapping.shape[1]) / len(languages)
+    right = np.zeros((len(languages), mapping.shape[1]))
+    for at in range(0, len(cut), 1000):
+        part, block = of[at : at + 1000], cut[at : at + 1000]
+        means = [np.mean([landmarks.kernel(grams(p)) for p in parts], axis=0) for parts in block]
+        features = np.array(means) @ mapping
+        weighted = features / rows[part][:, None]
+        left += weighted.T @ features
+        np.add.at(right, part, 2 * weighted)
+        right -= weighted.sum(axis=0)
+    weights = mapping @ np.linalg.solve(left, right.T)
     fits = len(landmarks.grams) * len(languages) <= MOST_CELLS
     return Classifier(languages, landmarks, weights, landmarks.table(weights) if fits else None)
 
 
 def fit(docs: DataFrame, usable: Column) -> Classifier:
-    """Learn from about ``TRAIN_PER_LANG`` documents of each language, chosen by a hash of their
-    ids, of the ``MOST_LANGS`` most frequent languages. Only this sample reaches the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    """Learn from about ``TRAIN_PER_LANG`` documents of each language, or as many fewer as
+    ``TRAIN_ALL`` asks for, chosen by a hash of their ids; the one of the smallest hash always.
+    Only this sample and the languages reach the driver."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & usable)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, TRAIN_PER_LANG / r["count"])).otherwise(share)
-    most = 2 * TRAIN_PER_LANG * max(1, len(counts))
-    rows = known.where(draw < share).select("doc_id", "lang", "text").limit(most).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
+    each = max(1, min(TRAIN_PER_LANG, TRAIN_ALL // max(1, len(counts))))
+    bounds = [(r["lang"], max(each / r["n"], r["least"])) for r in counts]
+    shares = small(docs.sparkSession.createDataFrame(bounds, "lang string, most double"), MOST_BROADCAST)
+    chosen = known.select("doc_id", "lang", "text").join(shares, "lang").where(draw <= F.col("most"))
+    rows = chosen.drop("most").limit(2 * each * max(1, len(counts))).collect()
     rows = sorted((r for r in rows if LETTER.search(r["text"])), key=lambda r: (str(r["doc_id"]), r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
