@@ -299,6 +299,27 @@ def test_neighbours_cases(spark):
     assert neighbours.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 8])
+def test_small_tables_give_all_neighbours(spark, n):
+    rows = [(i, [float(i == j) + 0.01 * i for j in range(8)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = Counter(r.query_id for r in neighbours.nearest(df, F.lit(True)).collect())
+    assert found == Counter({i: min(5, n - 1) for i in range(n)})
+
+
+def test_repeated_ids_do_not_count_as_neighbours(spark):
+    random_ = random.Random(4)
+    vector = lambda: [random_.gauss(0, 1) for _ in range(8)]
+    rows = [(0, [1.0] + [1e-3 * x for x in vector()[1:]]) for _ in range(200)] + [(i, vector()) for i in range(1, 9)]
+    rows += [(1, rows[200][1])] * 40  # equal rows of one id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") != 1).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in found.items()} == {q: 5 for q in (0, *range(2, 9))}
+    assert all(q not in v and v.count(1) <= 1 for q, v in found.items() if q)
+
+
 def test_many_equal_vectors_keep_the_smallest_ids(spark):
     df = spark.range(9000).selectExpr("id + 1 AS vec_id", "array(1D, 2D) AS embedding")
     found = neighbours.nearest(df, F.col("vec_id") % 4500 == 0).collect()

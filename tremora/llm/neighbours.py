@@ -2,8 +2,9 @@
 
 Unit vectors are cut into two halves, each quantised with its own codebook; a vector's cell is
 its pair of centroids. A query walks the pairs in order of their summed squared distance, by a
-heap over the two sorted lists, until the cells passed hold ``share`` of all vectors. Vectors of
-these cells are reranked by the cosine of the original vectors in double precision.
+heap over the two sorted lists, until the cells passed hold ``share`` of its candidates and k ids
+at least, or no cell is left. Candidates are distinct rows of other ids. Vectors of these cells are
+reranked by the cosine of the original vectors in double precision.
 
 Codebooks are fitted on a bounded sample (``SAMPLE`` vectors, chosen by a hash of their ids);
 every vector is indexed. The vectors of one first-half centroid form a slab; slabs are cut into
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremora.llm.common import append_columns
+from tremora.llm.common import append_columns, small
 from tremora.session import stored
 
 CENTROIDS, SAMPLE, ROUNDS = 32, 20_000, 12
 SHARE = 0.6
 BLOCK = 4096
+MOST_BROADCAST = 100_000
 SLACK = 1e-9  # how far a matrix product may be from the exact cosine
 
 
@@ -80,15 +82,16 @@ def fit_codebooks(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return books[0], books[1]
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: float) -> Iterator[tuple[int, int]]:
-    """Pairs of centroids by increasing ``first[a] + second[b]`` until ``wanted`` vectors are passed."""
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of centroids by increasing ``first[a] + second[b]`` until ``wanted`` (candidates and
+    ids) of ``sizes[a, b]`` are passed."""
     rows, columns = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     heap = [(first[rows[0]] + second[columns[0]], 0, 0)]
-    passed = 0
-    while heap and passed < wanted:
+    passed = np.zeros_like(wanted)
+    while heap and (passed < wanted).any():
         _, i, j = heapq.heappop(heap)
         a, b = int(rows[i]), int(columns[j])
-        passed += sizes[a, b]
+        passed = passed + sizes[a, b]
         yield a, b
         if j + 1 < len(columns):
             heapq.heappush(heap, (first[a] + second[columns[j + 1]], i, j + 1))
@@ -116,22 +119,34 @@ def with_cells(rows: DataFrame, books) -> DataFrame:
     return append_columns(rows, start, fields)
 
 
-def with_visits(queries: DataFrame, books, sizes: np.ndarray, share: float) -> DataFrame:
-    """Add visits: for each slab that a query enters, the cells (bits) it looks at there."""
+def with_visits(queries: DataFrame, books, sizes: np.ndarray, share: float, k: int) -> DataFrame:
+    """Add visits: for each slab that a query enters, the cells (bits) it looks at there.
+
+    ``sizes`` has the distinct rows and ids of each cell; own has the rows of the query's id by
+    cell, null if that is one row.
+    """
     shared = queries.sparkSession.sparkContext.broadcast((books, sizes))
     kind = T.ArrayType(T.StructType([T.StructField("slab", T.IntegerType()), T.StructField("cells", T.LongType())]))
 
     def start():
         books, sizes = shared.value
-        wanted = share * sizes.sum()
+        sizes = sizes.copy()
+        total = sizes[..., 0].sum()
 
         def work(batch: pa.RecordBatch):
             halves = _halves(_unit(_matrix(batch.column("embedding"))))
             made = []
-            for first, second in zip(*(_distances(h, b) for h, b in zip(halves, books))):
+            cells = [batch.column(c).to_pylist() for c in ("slab", "cell", "own")]
+            for first, second, *mine in zip(*(_distances(h, b) for h, b in zip(halves, books)), *cells):
+                own = mine[2] or [{"slab": mine[0], "cell": mine[1], "n": 1}]
+                for o in own:
+                    sizes[o["slab"], o["cell"]] -= (o["n"], 1)
+                wanted = np.array([share * (total - sum(o["n"] for o in own)), k])
                 bits: dict[int, int] = {}
                 for a, b in walk(first, second, sizes, wanted):
                     bits[a] = bits.get(a, 0) | 1 << b
+                for o in own:
+                    sizes[o["slab"], o["cell"]] += (o["n"], 1)
                 made.append([{"slab": a, "cells": c} for a, c in bits.items()])
             return {"visits": pa.array(made, pa.list_(pa.struct([("slab", pa.int32()), ("cells", pa.int64())])))}
 
@@ -155,11 +170,18 @@ def _rerank(k: int):
         norms = np.sqrt((rows * rows).sum(axis=1))
         found = []
         for n, query_id in enumerate(queries["query_id"].to_numpy()):
-            bound = np.partition(about[n], -k)[-k] if len(ids) > k else -np.inf
-            near = np.flatnonzero((about[n] >= bound - SLACK) & (about[n] > -np.inf))
-            own = asked[n]
-            exact = (rows[near] * own).sum(axis=1) / (norms[near] * np.sqrt((own * own).sum()))
-            best = np.lexsort((ids[near], -exact))[:k]
+            own, many = asked[n], k
+            while True:
+                bound = np.partition(about[n], -many)[-many] if len(ids) > many else -np.inf
+                near = np.flatnonzero((about[n] >= bound - SLACK) & (about[n] > -np.inf))
+                exact = (rows[near] * own).sum(axis=1) / (norms[near] * np.sqrt((own * own).sum()))
+                best = np.lexsort((ids[near], -exact))
+                # Repeated rows count once, so look further where they fill the first places.
+                again = (np.diff(ids[near][best]) == 0) & (np.diff(exact[best]) == 0)
+                best = best[~np.append(False, again)[: len(best)]][:k]
+                if len(best) == k or many >= len(ids):
+                    break
+                many *= 4
             found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near][best], "score": exact[best]}))
         return pd.concat(found, ignore_index=True) if found else empty
 
@@ -181,11 +203,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHA
     chosen = rows.where(draw < SAMPLE / total).limit(2 * SAMPLE).collect() or rows.limit(1).collect()
     books = fit_codebooks(_unit(np.array([r["embedding"] for r in sorted(chosen)])))
     index = stored(with_cells(rows, books), "multi-index")
-    sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in index.groupBy("slab", "cell").count().collect():
-        sizes[r["slab"], r["cell"]] = r["count"]
-
-    queries = with_visits(index.where(is_query).select("vec_id", "embedding"), books, sizes, share)
+    by_id = index.groupBy("slab", "cell", "vec_id").agg(F.count_distinct(F.xxhash64("embedding")).alias("n"))
+    held = np.zeros(len(books[0]), np.int64)
+    sizes = np.zeros((len(books[0]), len(books[1]), 2), np.int64)
+    for r in by_id.groupBy("slab", "cell").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect():
+        sizes[r["slab"], r["cell"]] = r["n"], r["ids"]
+    for r in index.groupBy("slab").count().collect():
+        held[r["slab"]] = r["count"]
+
+    own = by_id.where(is_query).groupBy("vec_id").agg(
+        F.collect_list(F.struct("slab", "cell", "n")).alias("own"), F.sum("n").alias("rows")
+    )
+    own = small(stored(own.where("rows > 1").drop("rows"), "repeated-ids"), MOST_BROADCAST)
+    asking = index.where(is_query).select("vec_id", "embedding", "slab", "cell").join(own, "vec_id", "left")
+    queries = with_visits(asking, books, sizes, share, k)
     visits = queries.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("visits").alias("v"))
     visits = stored(visits.select("query_id", "embedding", "v.slab", "v.cells"), "visits")
     asked = {r["slab"]: r["count"] for r in visits.groupBy("slab").count().collect()}
@@ -195,7 +226,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHA
         table = F.array(*[F.lit(-(-counts.get(s, 0) // BLOCK) or 1) for s in range(len(books[0]))])
         return F.get(table, F.col("slab"))
 
-    row_blocks = blocks({s: int(n) for s, n in enumerate(sizes.sum(axis=1))})
+    row_blocks = blocks({s: int(n) for s, n in enumerate(held)})
     query_blocks = blocks(asked)
     part = [F.pmod(F.xxhash64(c), n).cast("int") for c, n in (("vec_id", row_blocks), ("query_id", query_blocks))]
     every = [F.explode(F.sequence(F.lit(0), n - 1)) for n in (query_blocks, row_blocks)]
