@@ -55,6 +55,18 @@ def test_keep_one_keeps_columns_and_rows(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_one_document_of_each_group(spark):
+    one, other, third = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, one), (None, one.upper()), (None, other), (None, near), (None, near + " x"), (None, ""), (None, None)]
+    rows += [(7, third), (7, third.upper()), (None, third), (9, third)]
+    found = neardup.keep_one(spark.createDataFrame(rows, TEXT)).collect()
+    kept = Counter((r.doc_id, " ".join((r.text or "").lower().split())) for r in found)
+    assert kept[(None, one)] == kept[(None, other)] == kept[(7, third)] == 1
+    assert kept[(None, near)] + kept[(None, near + " x")] == 1 and kept[(None, "")] == 2
+    assert sum(kept.values()) == 6
+
+
 def test_sketches_estimate_similarity():
     import numpy as np
 

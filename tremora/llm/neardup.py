@@ -22,7 +22,8 @@ similarity misses all bands with a probability below ``MISS``.
 Defined cases: no words or a null text: empty set, linked with nothing. Fewer words than the
 width: the whole sequence is the one shingle. Rows with equal ids are separate documents that
 share an id. Rows without an id link like others; a component's id is its smallest id, null if
-it has none, and rows without an id in such a component are all kept.
+it has none, and rows without an id in such a component are all marked kept, as are all documents
+that share the smallest id. ``keep_one`` keeps one document of each group also then.
 """
 
 from __future__ import annotations
@@ -282,9 +283,15 @@ def _links(docs, classes, pairs, width, percent, bits) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    groups = near_duplicates(docs, width, percent)
-    kept = groups.where("kept").select(DOC_KEY).distinct()
+    """The rows of one document of each group, with their columns.
+
+    It is the first by (doc_id, set id, row key), those without an id last. Rows equal in id and
+    text are one document, and documents without words are in no group: all their rows stay.
+    """
+    groups = _grouped(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_id", DOC_KEY)
+    first = groups.where("set_id IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"))
+    kept = first.select(f"first.{DOC_KEY}").union(groups.where("set_id IS NULL").select(DOC_KEY)).distinct()
     keyed = docs.withColumn(DOC_KEY, row_key("doc_id", "text"))
     return keyed.join(kept, DOC_KEY, "left_semi").drop(DOC_KEY)
 
@@ -295,6 +302,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of
     ``width``-word shingles. kept marks the document of a component's smallest id.
     """
+    return _grouped(docs, width, percent).select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        DOC_KEY,
+    )
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, the row's key, set_id and root, which tells components
+    apart; both are null without words."""
     rows = band_rows(percent / 100)
     bits = most_differing_bits(percent / 100, rows * BANDS)
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias(DOC_KEY))
@@ -322,18 +341,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     grouped = classes.join(roots, "node", "left").select(
         "set_id", F.coalesce("root", "node").alias("root")
     )
-    named = stored(grouped.select("set_id", _id_of("root").alias("component_id")), "components")
+    named = stored(grouped.select("set_id", "root", _id_of("root").alias("component_id")), "components")
     own = F.expr("substring(node, 10, 16)").alias("set_id")
     result = signed.select("doc_id", "n_shingles", DOC_KEY, own).join(named, "set_id", "left")
     found = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    result = result.withColumn("component_id", found)
-    return result.select(
-        "doc_id",
-        "n_shingles",
-        "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        DOC_KEY,
-    )
+    return result.withColumn("component_id", found)
 
 
 def _id_of(node: str) -> Column:
