@@ -119,6 +119,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+HARD_NEGATIVES = """
+WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS positive,
+    CAST(list_sum(list_transform(list_zip(a.e, r.e), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM r AS a JOIN r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE positive
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT positive AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
@@ -126,4 +151,5 @@ def oracles() -> dict[str, str]:
         "op3_neardup": NEAR_DUPLICATES,
         "op7_chat": CHAT,
         "op9_linededup": LINE_DEDUP,
+        "op13_negatives": HARD_NEGATIVES,
     }

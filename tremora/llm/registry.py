@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, neighbours, pii, quality, secrets
+from tremora.llm import bpe, chat, decontaminate, langid, linededup, neardup, negatives, neighbours
+from tremora.llm import pagediff, periodic, pii, quality, secrets
 from tremora.llm.common import joined_spans
 from tremora.llm.oracles import oracles as oracles
 
@@ -117,6 +118,22 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_periodic(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.with_runs(documents, edit=periodic.planted))
+
+
+def op12_pagediff(spark: SparkSession, sf: str) -> DataFrame:
+    found = pagediff.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_shared")
+
+
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -129,5 +146,8 @@ def registered() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_linededup": op9_linededup,
         "op10_quality": op10_quality,
+        "op11_periodic": op11_periodic,
+        "op12_pagediff": op12_pagediff,
+        "op13_negatives": op13_negatives,
     }
 
