@@ -207,6 +207,19 @@ def test_bpe_against_the_library(spark, documents):
     assert bpe.encode_and_decode(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_bpe_of_long_runs_and_long_words(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path())
+    word = "".join(random.Random(2).choices("abcdefgh", k=100_000))
+    texts = ["👍!" * 100_000, "👍!<|endoftext|>" * 20_000 + " ", "é👍 " * 100_000, word, word, "日" * 300_000]
+    df = spark.createDataFrame([*enumerate(texts)], TEXT).repartition(3)
+    assert max(len(w.encode()) for w in bpe.frequent_words(df, bpe.Vocabulary(tokenizer_path()), "text", 100)) <= 64
+    found = {r.doc_id: r for r in bpe.encode_and_decode(df, tokenizer_path()).collect()}
+    for i, encoded in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        ids = [int.from_bytes(found[i].tokens[j : j + 4], "little") for j in range(0, len(found[i].tokens), 4)]
+        assert ids == encoded.ids and found[i].decoded == texts[i]
+
+
 def test_decoding_of_broken_bytes_and_lexicon(spark):
     vocabulary = bpe.Vocabulary(tokenizer_path())
     half = vocabulary.byte_ids[0xC3]

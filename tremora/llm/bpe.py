@@ -3,11 +3,13 @@
 Frequent words of the corpus are compiled into a minimal acyclic transducer: words share
 prefixes and suffixes, and the sum of the outputs along a word's path is its number, which
 points to its token ids. The file lies in the shared folder, Spark copies it to each executor,
-and all Python workers there map it. Words outside the lexicon are merged exactly, so the
-lexicon decides speed only, never ids.
+and all Python workers there map it. Words outside the lexicon, among them all of more than 64
+bytes, are merged exactly, so the lexicon decides speed only, never ids.
 
-A null text counts as empty. The operators keep all other columns; a column that has the
-name of an output is replaced.
+Defined cases: a null text counts as empty and has no ids. Texts of any length are encoded whole,
+one word of a whole text included (n log n steps). Repeated rows each get the same ids; there are no ties.
+An empty table gives an empty table (and an empty lexicon). The operators keep all other columns; a
+column that has the name of an output is replaced.
 """
 
 from __future__ import annotations
@@ -34,18 +36,22 @@ SPLIT = (
 )
 
 
-def split_pattern(special: Iterable[str]) -> str:
-    """Java pattern of words. Strings of special tokens are words and end what is before them."""
-    quoted = "|".join(f"\\Q{s}\\E" for s in sorted(special, key=len, reverse=True))
+def split_pattern() -> str:
+    """Java pattern of the words of a text without special tokens.
+
+    Every repetition is one of a plain class, which Java matches in a loop; a repeated group would
+    recurse once per symbol.
+    """
     odd = f"[^{SPACES}\\p{{L}}\\p{{N}}]"
     pattern = SPLIT.replace(r"(?!\S)", f"(?![^{SPACES}])").replace(r"[^\s\p{L}\p{N}]", odd)
-    if quoted:
-        pattern = pattern.replace(odd, f"(?:(?!{quoted}){odd})")
-        pattern = pattern.replace(f"(?![^{SPACES}])", f"(?!(?!{quoted})[^{SPACES}])")
-        pattern = f"{quoted}|{pattern}"
     return pattern.replace(r"\s", f"[{SPACES}]")
 
 
+def special_pattern(special: Iterable[str]) -> str:
+    """Java pattern of special tokens, longer ones first."""
+    return "|".join(f"\\Q{s}\\E" for s in sorted(special, key=len, reverse=True))
+
+
 def _byte_letters() -> dict[str, int]:
     """Byte of each letter in vocabulary files: printable bytes stand for themselves, the
     others for code points from 256 up, in order."""
@@ -58,6 +64,7 @@ def _byte_letters() -> dict[str, int]:
 WORDS = "__words"
 PART = 2 << 20  # bytes of text that are encoded together
 SIDE_BY_SIDE = 48  # bytes of the longest word that is merged in a matrix
+LEXICON_BYTES = 64  # longer words are merged where they occur: a look-up takes a step per byte
 BASE = 1 << 31
 NO_PAIR = 1 << 40
 
@@ -263,11 +270,21 @@ class Lexicon:
 
 
 def with_words(df: DataFrame, vocabulary: Vocabulary, text: str, output: str) -> DataFrame:
-    """Add the words of each text, in order; nothing is left out between them."""
-    pattern = F.lit(split_pattern(vocabulary.special))
-    return df.withColumn(
-        output, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), pattern, F.lit(0))
+    """Add the words of each text, in order; nothing is left out between them.
+
+    Special tokens are words, and a text that has some is first split at them.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words = lambda part: F.regexp_extract_all(part, F.lit(split_pattern()), F.lit(0))
+    if not vocabulary.special:
+        return df.withColumn(output, words(whole))
+    pattern = special_pattern(vocabulary.special)
+    special = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+    parts = F.transform(
+        F.split(whole, pattern, -1),
+        lambda part, i: F.concat(words(part), F.array_compact(F.array(F.get(special, i)))),
     )
+    return df.withColumn(output, F.when(whole.rlike(pattern), F.flatten(parts)).otherwise(words(whole)))
 
 
 def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str, most: int) -> list[str]:
@@ -276,6 +293,7 @@ def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str, most: int)
     Counts are put into 8 classes per power of two; the classes taken are those that fit whole.
     """
     words = with_words(df.select(text), vocabulary, text, WORDS).select(F.explode(WORDS).alias("w"))
+    words = words.where(F.octet_length("w") <= LEXICON_BYTES)
     counts = words.groupBy("w").count().where("count > 1")
     counts = stored(counts.select("w", F.floor(F.log2("count") * 8).alias("size")), "word-counts")
     taken, lowest = 0, None
