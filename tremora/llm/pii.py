@@ -12,7 +12,11 @@ The texts are read once, in the tasks; candidates are stored, and only pattern c
 driver.
 
 Defined cases: a null text is empty; without candidates nothing is added; repeated rows have the
-same result. Other columns are kept; spans and candidates replace columns of these names.
+same result; an empty table gives an empty table. Where two candidates tie for a place, both are
+reported, by start, then kind, then end. Long texts are read whole, in linear time; numbers of an
+address may have any count of leading zeros. A spelled-out address ("name (at) host (dot) org") keeps to
+mail's own limits: 64 characters before the sign, 63 a label, six labels; base addresses have no
+limit. Other columns are kept; spans and candidates replace columns of these names.
 """
 
 from __future__ import annotations
@@ -104,7 +108,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if "at)" in text or "at]" in text:
         loose += [(m.start(), 0, m.end(), False) for m in SPELLED_EMAIL.finditer(text)]
     for start, end, numbers in quadruples(text):
-        add(start, 1, end, all(len(n.lstrip("0")) <= 3 and int(n) <= 255 for n in numbers))
+        add(start, 1, end, all(len(n.lstrip("0")) <= 3 and int(n.lstrip("0") or 0) <= 255 for n in numbers))
     for m in DIGITS.finditer(text):
         if m.end() - m.start() < 10:
             continue
