@@ -280,10 +280,9 @@ def with_words(df: DataFrame, vocabulary: Vocabulary, text: str, output: str) ->
         return df.withColumn(output, words(whole))
     pattern = special_pattern(vocabulary.special)
     special = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
-    parts = F.transform(
-        F.split(whole, pattern, -1),
-        lambda part, i: F.concat(words(part), F.array_compact(F.array(F.get(special, i)))),
-    )
+    # Zipped, so that both arrays are made once and not anew for every part.
+    pairs = F.arrays_zip(F.split(whole, pattern, -1).alias("part"), special.alias("special"))
+    parts = F.transform(pairs, lambda p: F.concat(words(p["part"]), F.array_compact(F.array(p["special"]))))
     return df.withColumn(output, F.when(whole.rlike(pattern), F.flatten(parts)).otherwise(words(whole)))
 
 
