@@ -82,6 +82,39 @@ def test_every_key_above_the_target_is_cut(spark):
     assert sizes.count() == 15_000 and sizes.agg(F.max("count")).first()[0] <= 40
 
 
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_pieces_follow_the_rows_and_not_the_span(spark, n):
+    """Outliers at both ends, nine tenths of the rows in a hundredth of the span, one busy moment."""
+    rows = spark.range(n).selectExpr(
+        "CASE WHEN id % 5 = 0 THEN 'cold' ELSE 'hot' END AS sensor_id",
+        """CASE WHEN id = 1 THEN -9000000000000 WHEN id = 2 THEN 9000000000000 WHEN id = 3 THEN NULL
+           WHEN id % 10 = 1 THEN id * 1000 WHEN id % 100 = 7 THEN 500000 ELSE 40000000 + id * 10 END AS ts""",
+    )
+    target = n // 50
+    plan = plan_pieces(rows, ["sensor_id"], "ts", target_rows=target)
+    assigned = plan.assign(rows).cache()
+    sizes = assigned.where("sensor_id = 'hot'").groupBy(PIECE).count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * target and len(sizes) >= 30
+    assert assigned.count() == rows.count()
+    # Pieces are in time order, and no moment is in two of them.
+    spans = assigned.where("sensor_id = 'hot'").groupBy(PIECE).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    spans = [(r.lo, r.hi) for r in spans.orderBy(PIECE).collect() if r.lo is not None]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert assigned.where("ts IS NULL").first()[PIECE] == 0
+    assigned.unpersist()
+
+
+def test_cuts_kept_as_a_table(spark, monkeypatch):
+    from tremora.operators import chunks
+
+    rows = spark.range(30_000).selectExpr("concat('s', id % 300) AS sensor_id", "id * id % 99991 AS ts")
+    local = plan_pieces(rows, ["sensor_id"], "ts", target_rows=20)
+    monkeypatch.setattr(chunks, "MOST_LOCAL_CUTS", 64)
+    stored = plan_pieces(rows, ["sensor_id"], "ts", target_rows=20)
+    a, b = (sorted(map(tuple, p.assign(rows).collect())) for p in (local, stored))
+    assert a == b and len({x[2] for x in a}) == 5
+
+
 def test_one_key_in_very_many_pieces(spark):
     rows = spark.range(100_000).selectExpr("'a' AS sensor_id", "id * 7 AS collect_timestamp")
     plan = plan_pieces(rows, ["sensor_id"], "collect_timestamp", target_rows=10)
@@ -167,6 +200,15 @@ def test_history_pieces_equal_whole(skewed):
     agg.unpersist()
 
 
+def test_sustained_keeps_samples_without_a_time(spark):
+    rows = [("a", t, 5000) for t in (10, 20, 30)] + [("a", None, 5000)] * 2 + [("b", None, 1)]
+    df = spark.createDataFrame(rows, "job_id string, ts long, throughput long")
+    found = scaling.sustained(df, {"high": F.col("throughput") > 3000}, 50).collect()
+    assert sorted((r.job_id, r.ts or 0, r.high) for r in found) == [
+        ("a", 0, False), ("a", 0, False), ("a", 10, False), ("a", 20, False), ("a", 30, True), ("b", 0, False),
+    ]
+
+
 def test_sustained_slices_equal_one_slice(spark, data_dir):
     metrics = events.metrics(spark, data_dir)
     rules = {"high": F.col("throughput") > 3000, "low": F.col("cpu") < 0.5}

@@ -23,14 +23,19 @@ HALO = "__halo"
 WHOLE = -1
 
 
+#: Cut points up to this number travel through the driver; more are kept as a table.
+MOST_LOCAL_CUTS = 200_000
+
+
 @dataclass(frozen=True)
 class PiecePlan:
     """How keys are cut. ``cuts`` is None when no key needs cutting."""
 
     keys: tuple[str, ...]
     order: str
-    cuts: DataFrame | None = None  # key columns, __lo, __width: one row per key that is cut
+    cuts: DataFrame | None = None  # key columns, __cuts: ascending, one row per key that is cut
     width: int | None = None  # fixed-width pieces for every key instead of cuts
+    most: int = 0  # no key has more cuts than this
 
     @property
     def is_whole(self) -> bool:
@@ -39,17 +44,23 @@ class PiecePlan:
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the piece number of each row; WHOLE for keys that are not cut.
 
-        A piece follows from its key's row by one division, whatever the number of pieces.
+        A piece is the number of its key's cuts up to the row's place in the order, found by
+        halving: a few steps even for very many pieces. A row without a place is in piece 0.
         """
         if self.width is not None:
             return df.withColumn(PIECE, F.floor(F.col(self.order) / F.lit(self.width)))
         if self.cuts is None:
             return df.withColumn(PIECE, F.lit(WHOLE).cast("bigint"))
         match = [F.col(key) == F.col(f"__cut_key{i}") for i, key in enumerate(self.keys)]
-        piece = F.expr(f"({self.order} - __lo) div __width")
-        return df.join(self.cuts, match, "left").select(
-            *df.columns, F.coalesce(piece, F.lit(WHOLE).cast("bigint")).alias(PIECE)
+        steps = [1 << i for i in range(self.most.bit_length() - 1, -1, -1)]
+        piece = F.aggregate(
+            F.array(*[F.lit(step).cast("int") for step in steps]),
+            F.lit(0).cast("int"),
+            lambda at, step: at
+            + F.when(F.get("__cuts", at + step - 1) <= F.col(self.order), step).otherwise(F.lit(0)),
         )
+        piece = F.when(F.col("__cuts").isNull(), F.lit(WHOLE)).otherwise(piece).cast("bigint")
+        return df.join(self.cuts, match, "left").select(*df.columns, piece.alias(PIECE))
 
     def only_cut(self, df: DataFrame) -> DataFrame:
         """Rows (of an assigned frame) that belong to keys that are cut."""
@@ -64,27 +75,55 @@ def calendar_pieces(keys: Sequence[str], order: str, width: int) -> PiecePlan:
 def plan_pieces(
     df: DataFrame, keys: Sequence[str], order: str, target_rows: int = 4_000_000
 ) -> PiecePlan:
-    """Cut every key with more than ``target_rows`` rows into pieces of equal width.
+    """Cut every key with more than ``target_rows`` rows at quantiles of ``order``.
+
+    One counting job over the key columns; if it finds no hot key, that is all. Otherwise the
+    hot keys' values of ``order`` go through a quantile sketch per key: mergeable, so it is
+    filled before the exchange, of bounded size, and with a rank error below half a target.
+    Pieces hold at most about twice the target, wherever the rows lie: one clock set to zero, or
+    nine tenths of the rows in a moment, move the cuts and not the sizes. Only rows that share
+    one value of ``order`` stay together whatever their number.
 
-    One counting job over the key columns. A key's width is its span over the pieces it needs,
-    so rows spread evenly give pieces of at most about ``target_rows``, at any size of the
-    data; no number of keys or pieces is too many. The widths stay a table (one row per cut
-    key) that is joined, by broadcast where Spark finds it small enough and with split
-    partitions otherwise. Rows that share one value of ``order`` stay together.
+    No number of keys or pieces is too many: beyond MOST_LOCAL_CUTS the cuts are a stored table,
+    which Spark broadcasts where it is small and joins with split partitions otherwise.
     """
     keys = tuple(keys)
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi")
-    )
-    width = F.expr(f"(__hi - __lo) div ((__n + {target_rows - 1}) div {target_rows}) + 1")
-    cuts = counts.where(F.col("__n") > target_rows).select(
-        # Names of its own, so that joining it to any frame is unambiguous.
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # Names of its own, so that joining it to any frame is unambiguous.
+    hot = counts.where(F.col("__n") > target_rows).select(
         *[F.col(key).alias(f"__cut_key{i}") for i, key in enumerate(keys)],
-        "__lo",
-        width.alias("__width"),
+        F.expr(f"(__n + {target_rows - 1}) div {target_rows}").alias("__pieces"),
+    )
+    found = hot.limit(MOST_LOCAL_CUTS // 64 + 1).toArrow()
+    if not found.num_rows:
+        return PiecePlan(keys, order)
+    if found.num_rows <= MOST_LOCAL_CUTS // 64:
+        hot = F.broadcast(df.sparkSession.createDataFrame(found, schema=hot.schema))
+        most = max(found.column("__pieces").to_pylist())
+        n_cuts = sum(found.column("__pieces").to_pylist())
+    else:
+        hot = stored(hot, "hot-keys")
+        most, n_cuts = hot.agg(F.max("__pieces"), F.sum("__pieces")).first()
+    match = [F.col(key) == F.col(f"__cut_key{i}") for i, key in enumerate(keys)]
+    names = [c for c in hot.columns if c != "__pieces"]
+    # Quantiles for the key with most pieces; others take those nearest to their own.
+    ranks = F.split(F.lit(",".join(str(i / most) for i in range(1, most))), ",").cast("array<double>")
+    quantiles = (
+        df.select(*keys, order)
+        .join(hot, match)
+        .groupBy(*names, "__pieces")
+        .agg(F.percentile_approx(order, ranks, 8 * most).alias("__q"))
+    )
+    own = F.transform(
+        F.sequence(F.lit(1), (F.col("__pieces") - 1).cast("int")),
+        lambda i: F.get("__q", F.round(i * F.lit(most) / F.col("__pieces")).cast("int") - 1),
     )
-    cuts = stored(cuts, "cuts")
-    return PiecePlan(keys, order, cuts=None if cuts.isEmpty() else cuts)
+    cuts = quantiles.where("__q IS NOT NULL").select(*names, F.array_distinct(own).alias("__cuts"))
+    if n_cuts <= MOST_LOCAL_CUTS:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(cuts.toArrow(), schema=cuts.schema))
+    else:
+        cuts = stored(cuts, "cuts")
+    return PiecePlan(keys, order, cuts=cuts, most=int(most))
 
 
 def over_recent_rows(

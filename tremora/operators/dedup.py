@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tremora.operators.chunks import PIECE, PiecePlan, over_recent_rows, plan_pieces
 from tremora.schemas import READING_ORDER
@@ -164,7 +165,7 @@ def _segments(cut: DataFrame, gap_ms: int, ttl_ms: int) -> DataFrame:
     Returns one row per piece: readings from ``start_from`` on belong to the piece itself,
     with a baseline set at ``created``; earlier ones continue the segment of ``owner``.
     """
-    times = cut.select(SENSOR, PIECE, TS).distinct()
+    times = cut.select(SENSOR, PIECE, TS)
     summary = T.StructType(
         [
             T.StructField(SENSOR, T.StringType()),
@@ -177,8 +178,7 @@ def _segments(cut: DataFrame, gap_ms: int, ttl_ms: int) -> DataFrame:
         ]
     )
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf[TS].to_numpy(dtype=np.int64))
+    def summarise(sensor: str, piece: int, t: np.ndarray) -> dict:
         n = len(t)
         following = np.searchsorted(t, t + ttl_ms, side="right")
         last = np.where(following < n, following, np.arange(n))
@@ -191,17 +191,40 @@ def _segments(cut: DataFrame, gap_ms: int, ttl_ms: int) -> DataFrame:
         entry, leave = t[:reachable], t[last[:reachable]]
         run_end = np.append(leave[1:] != leave[:-1], True)
         gaps = np.flatnonzero(np.diff(t) >= gap_ms)
-        return pd.DataFrame(
-            {
-                SENSOR: [key[0]],
-                PIECE: [key[1]],
-                "first_ts": [t[0]],
-                "last_ts": [t[-1]],
-                "gap_ts": pd.array([t[gaps[0] + 1] if len(gaps) else None], dtype="Int64"),
-                "entries": [entry[run_end]],
-                "exits": [leave[run_end]],
-            }
-        )
+        return {
+            SENSOR: sensor,
+            PIECE: piece,
+            "first_ts": t[0],
+            "last_ts": t[-1],
+            "gap_ts": t[gaps[0] + 1] if len(gaps) else None,
+            "entries": entry[run_end],
+            "exits": leave[run_end],
+        }
+
+    made = to_arrow_schema(summary)
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per piece, from times sorted by piece; the piece in progress is kept."""
+        current, parts = None, []
+        for batch in batches:
+            sensors = batch.column(SENSOR).dictionary_encode().indices.fill_null(-1).to_numpy()
+            pieces, ts = batch.column(PIECE).to_numpy(), batch.column(TS).to_numpy()
+            changes = (sensors[1:] != sensors[:-1]) | (pieces[1:] != pieces[:-1])
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(ts)]
+            rows = []
+            for lo, hi in zip(bounds, bounds[1:]):
+                if lo == hi:
+                    continue
+                key = (batch.column(SENSOR)[lo].as_py(), int(pieces[lo]))
+                if key != current:
+                    if parts:
+                        rows.append(summarise(*current, np.concatenate(parts)))
+                    current, parts = key, []
+                parts.append(ts[lo:hi])
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=made)
+        if parts:
+            yield pa.RecordBatch.from_pylist([summarise(*current, np.concatenate(parts))], schema=made)
 
     result = T.StructType(
         [
@@ -244,8 +267,9 @@ def _segments(cut: DataFrame, gap_ms: int, ttl_ms: int) -> DataFrame:
             yield frame.astype(dict.fromkeys(longs, "Int64"))
 
     return (
-        times.groupBy(SENSOR, PIECE)
-        .applyInPandas(summarise, summary)
+        times.repartition(SENSOR, PIECE)
+        .sortWithinPartitions(SENSOR, PIECE, TS)
+        .mapInArrow(summaries, summary)
         .repartition(SENSOR)
         .sortWithinPartitions(SENSOR, PIECE)
         .mapInPandas(compose, result)

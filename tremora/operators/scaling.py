@@ -102,9 +102,12 @@ def sustained(
     Both ends of the span count, and at least ``min_samples`` samples must lie in it.
     A job's samples are worked on in slices of time, each slice with the ``duration``
     seconds before it, so a job that wrote most of the samples is no single task.
+    A sample without a time is in no span: all its flags are false.
     """
     width = max(slice_seconds, duration + 1)
-    until = F.floor((F.col("ts") + F.lit(duration)) / F.lit(width))
+    # Samples without a time meet nobody; numbers below all slices spread them over tasks.
+    apart = F.lit(-(1 << 60)) + F.monotonically_increasing_id() % 4096
+    until = F.coalesce(F.floor((F.col("ts") + F.lit(duration)) / F.lit(width)), F.col("__own"))
     job = Window.partitionBy(by, "__slice").orderBy("ts")
     so_far = job.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     since = F.col("ts") - F.lit(duration)
@@ -117,7 +120,7 @@ def sustained(
 
     breaches = {f"__breach_{name}": last_breach(c) for name, c in conditions.items()}
     sliced = (
-        metrics.withColumn("__own", F.floor(F.col("ts") / F.lit(width)))
+        metrics.withColumn("__own", F.coalesce(F.floor(F.col("ts") / F.lit(width)), apart))
         .withColumn("__slice", F.explode(F.sequence("__own", until)))
         .withColumns({"__nth": F.lag("ts", min_samples - 1).over(job), **breaches})
         .withColumn("__nth", F.max("__nth").over(so_far))

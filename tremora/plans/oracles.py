@@ -284,8 +284,12 @@ def oracles() -> dict[str, str]:
         "bounded_read": base
         + "SELECT * FROM readings ORDER BY collect_timestamp, event_id LIMIT 1000",
         "metrics_log": metrics
-        + "SELECT ts, throughput, round(cpu, 4) AS cpu FROM metrics WHERE ts % 50 <> 0",
-        "metrics_log_odd": metrics + "SELECT ts FROM metrics WHERE ts % 50 = 0",
+        + "SELECT ts, throughput, round(cpu, 4) AS cpu FROM metrics",
+        "metrics_log_odd": metrics
+        + """SELECT CASE sample_id % 3
+              WHEN 0 THEN printf('? %d,throughput:%d,cpu:%.4f', ts, throughput, cpu)
+              WHEN 1 THEN printf('%d,throughput:1', ts) ELSE CAST(ts AS VARCHAR) END AS line
+            FROM metrics WHERE sample_id % 50 = 0""",
         # quality
         "valid_readings": base + "SELECT * FROM valid",
         "reject_report": base
@@ -305,7 +309,7 @@ def oracles() -> dict[str, str]:
         "agg_line": agg + f"SELECT sensor_id, window_start_ts, {_line(True)} AS line FROM agg",
         "agg_csv": agg
         + """SELECT sensor_id, window_start_ts, concat_ws(',', sensor_id, window_start_ts,
-            window_end_ts, CAST(CAST(avg_amplitude AS DECIMAL(18, 3)) AS VARCHAR), max_amplitude,
+            window_end_ts, CAST(round(avg_amplitude, 3) AS VARCHAR), max_amplitude,
             min_amplitude, p_phase_count, s_phase_count, n_phase_count) AS csv FROM agg""",
         # history
         "history_baseline": history_sql,

@@ -177,13 +177,18 @@ def bounded_read(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf: str) -> str:
-    """A metrics log as text files; every fiftieth second's lines are of another shape."""
+    """A metrics log as text files: a line per sample, and odd lines beside them."""
     folder = shared_folder(spark, "metrics-log")
-    odd = F.col("value").rlike("^[0-9]*[05]0,")
-    lines = metrics.format_metrics(events.metrics(spark, sf)).withColumn(
-        "value", F.when(odd, F.concat(F.lit("? "), "value")).otherwise(F.col("value"))
+    samples = events.metrics(spark, sf)
+    metrics.format_metrics(samples).write.text(folder)
+    # Cut short, marked, or with nothing after the time: lines of another shape.
+    odd = samples.where("sample_id % 50 = 0").select(
+        F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("? "), metrics.log_line()))
+        .when(F.col("sample_id") % 3 == 1, F.concat_ws(",", F.col("ts").cast("string"), F.lit("throughput:1")))
+        .otherwise(F.col("ts").cast("string"))
+        .alias("value")
     )
-    lines.write.text(folder)
+    odd.write.mode("append").text(folder)
     return folder
 
 
@@ -193,8 +198,7 @@ def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics_log_odd(spark: SparkSession, sf: str) -> DataFrame:
-    odd = metrics.odd_lines(spark.read.text(_log(spark, sf)))
-    return odd.select(F.regexp_extract("value", r"^\? (\d+),", 1).cast("bigint").alias("ts"))
+    return metrics.odd_lines(spark.read.text(_log(spark, sf))).select(F.col("value").alias("line"))
 
 
 def log_alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,7 +397,7 @@ def registered() -> dict[str, Query]:
             "sensor_id", "window_start_ts", "line"
         ),
         "agg_csv": lambda s, d: agg_to_csv(
-            _agg(s, d).withColumn("avg_amplitude", F.col("avg_amplitude").cast("decimal(18,3)"))
+            rounded(_agg(s, d), "avg_amplitude", places=3)
         ).select("sensor_id", "window_start_ts", "csv"),
         "history_baseline": lambda s, d: _history_output(_history(s, d)),
         "history_baseline_split": lambda s, d: _history_output(

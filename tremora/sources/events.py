@@ -35,11 +35,15 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_slices(df: DataFrame, order: str, slices: int) -> list[DataFrame]:
-    """Consecutive parts of about equal size; the bounds are approximate quantiles."""
+    """Consecutive parts of about equal size; the bounds are approximate quantiles.
+
+    Rows without a value of ``order`` come with the first part.
+    """
     inner = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)
     edges = [float("-inf"), *sorted(set(inner)), float("inf")]
     at = F.col(order)
-    return [df.where((at >= lo) & (at < hi)) for lo, hi in zip(edges, edges[1:])]
+    parts = [(at >= lo) & (at < hi) for lo, hi in zip(edges, edges[1:])]
+    return [df.where(part if i else part | at.isNull()) for i, part in enumerate(parts)]
 
 
 def as_readings(events: DataFrame) -> DataFrame:
