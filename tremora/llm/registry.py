@@ -63,6 +63,7 @@ def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
         *counts,
         F.sha2(joined_spans(base), 256).alias("base_sha256"),
         joined_spans("spans").alias("spans"),
+        F.size("links").cast("bigint").alias("n_links"),
     )
 
 

@@ -9,24 +9,30 @@ part is reported only if what completes it lies in its scope, within ``REACH`` c
     login     an assign, a hex or a key
     endpoint  an access or a login, and an assign, a hex or a key
 
-The interval join of parts and scopes is a sweep over the parts of a text in order: running
-maxima give the nearest end before and the nearest start behind, so no pairs are made.
+A weak part's scope is the stretch from ``REACH`` before it to ``REACH`` behind it. Scopes and the
+parts that complete them are interval-joined, within a text by blocks of ``REACH`` code points: two
+stretches meet where one of them begins within the other, so each pair is found once, in the block of
+that beginning. Every pair is a link (part, complement, distance). Parts of one kind do not overlap and
+have a least length, so a scope meets few of them, or as many as its own length holds: links grow
+with the text, not with the square of its parts.
 
 Matches are leftmost and do not overlap within a kind; those too short are dropped without
 another try. A match's place is the length of the text's gaps and matches before it. All this is
 DataFrame operations; only found parts are shuffled.
 
 Defined cases: a null text is empty; rows equal in doc_id and text have the same result; a part
-of one kind may overlap parts of others. Other columns are kept; spans replaces a column of
-that name.
+of one kind may overlap parts of others (distance 0), and ties in the order of spans go by kind as
+listed. An empty table gives an empty table. Long texts are read whole; their parts lie in blocks, so no
+task holds a text's pairs. Other columns are kept; spans and links replace columns of these names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora.llm.common import DOC_KEY, row_key
+from tremora.session import stored
 
 REACH = 200
 #: kind: pattern, the group that is measured, its least length. Base kinds come first.
@@ -45,6 +51,8 @@ KINDS = {
 }
 BASE = ("assign", "access", "hex")
 IDENTIFIERS, SECRETS = ("access", "login"), ("assign", "hex", "key")
+#: What completes a weak part; an endpoint takes one of either sort, the others any.
+COMPLEMENTS = {"key": IDENTIFIERS, "login": SECRETS, "endpoint": (*IDENTIFIERS, *SECRETS)}
 
 
 def found_parts(docs: DataFrame) -> DataFrame:
@@ -79,40 +87,71 @@ def found_parts(docs: DataFrame) -> DataFrame:
     return placed.where("enough").drop("enough")
 
 
-def linked_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The base parts, and the weak ones whose complements are in reach."""
-    order = Window.partitionBy(DOC_KEY).orderBy("start", "end", "kind")
-    back = Window.partitionBy(DOC_KEY).orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
-
-    def near(kinds: tuple[str, ...]):
-        own = F.col("kind").isin(*kinds)
-        before = F.max(F.when(own, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        behind = F.min(F.when(own, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
-        close = [F.col("start") - before <= reach, behind - F.col("end") <= reach]
-        return F.coalesce(close[0], F.lit(False)) | F.coalesce(close[1], F.lit(False))
-
-    seen = parts.withColumns({"identified": near(IDENTIFIERS), "secret": near(SECRETS)})
-    reported = (
-        F.col("kind").isin(*BASE)
-        | ((F.col("kind") == "key") & F.col("identified"))
-        | ((F.col("kind") == "login") & F.col("secret"))
-        | ((F.col("kind") == "endpoint") & F.col("identified") & F.col("secret"))
+def scope_links(parts: DataFrame, reach: int = REACH) -> DataFrame:
+    """Each weak part with each part in its scope that helps to complete it, and their distance."""
+    helps = F.create_map(*[x for kind, kinds in COMPLEMENTS.items() for x in (F.lit(kind), F.array(*map(F.lit, kinds)))])
+    weak = parts.where(F.col("kind").isin(*COMPLEMENTS)).withColumns(
+        {"lo": F.col("start") - reach, "hi": F.col("end") + reach}
+    )
+    other = parts.where(F.col("kind").isin(*IDENTIFIERS, *SECRETS)).selectExpr(
+        DOC_KEY, "kind AS with_kind", "start AS with_start", "end AS with_end"
+    )
+
+    def blocks(lo: str, hi: str):
+        return F.explode(F.sequence(F.floor(F.col(lo) / reach), F.floor(F.col(hi) / reach)))
+
+    def block(at: str):
+        return F.floor(F.col(at) / reach)
+
+    on = [DOC_KEY, "block"]
+    begins_inside = weak.withColumn("block", blocks("lo", "hi")).join(other.withColumn("block", block("with_start")), on)
+    begins_before = weak.withColumn("block", block("lo")).join(
+        other.withColumn("block", blocks("with_start", "with_end")), on
+    )
+    pairs = begins_inside.where("with_start BETWEEN lo AND hi").unionByName(
+        begins_before.where("with_start < lo AND with_end >= lo")
+    )
+    fits = F.array_contains(F.element_at(helps, F.col("kind")), F.col("with_kind"))
+    apart = F.greatest(F.col("with_start") - F.col("end"), F.col("start") - F.col("with_end"), F.lit(0))
+    return pairs.where(fits).select(
+        DOC_KEY, "kind", "start", "end", "with_kind", "with_start", "with_end", apart.alias("distance")
     )
-    return seen.where(reported).drop("identified", "secret")
+
+
+def linked_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The base parts, and the weak ones whose complements are in their scopes."""
+    place = [DOC_KEY, "kind", "start", "end"]
+    seen = links.groupBy(*place).agg(
+        F.bool_or(F.col("with_kind").isin(*IDENTIFIERS)).alias("identified"),
+        F.bool_or(F.col("with_kind").isin(*SECRETS)).alias("secret"),
+    )
+    complete = (F.col("kind") != "endpoint") | (F.col("identified") & F.col("secret"))
+    return parts.where(F.col("kind").isin(*BASE)).union(seen.where(complete).select(place))
 
 
 def with_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Add spans: kind, start and end (exclusive, in code points), by start, then kind as listed."""
+    """Add spans: kind, start and end (exclusive, in code points), by start, then kind as listed;
+    and links of the reported weak parts: kind, start, with_kind, with_start, distance."""
     kinds = list(KINDS)
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    spans = linked_parts(found_parts(docs), reach).groupBy(DOC_KEY).agg(
+    parts = stored(found_parts(docs), "secret-parts")  # few, and read several times
+    links = stored(scope_links(parts, reach), "secret-links")
+    reported = linked_parts(parts, links)
+    spans = reported.groupBy(DOC_KEY).agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("found")
     )
     listed = F.transform(
         "found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     )
-    spans = spans.select(F.col(DOC_KEY).alias("__key"), listed.alias("spans"))
-    keyed = docs.drop("spans").withColumn(DOC_KEY, row_key("doc_id", "text"))
+    linked = links.join(reported.where(~F.col("kind").isin(*BASE)), [DOC_KEY, "kind", "start", "end"], "left_semi")
+    linked = linked.groupBy(DOC_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "with_start", "with_kind", "distance"))).alias("links")
+    )
+    spans = spans.join(linked, DOC_KEY, "left").select(F.col(DOC_KEY).alias("__key"), listed.alias("spans"), "links")
+    keyed = docs.drop("spans", "links").withColumn(DOC_KEY, row_key("doc_id", "text"))
     joined = keyed.join(spans, F.col(DOC_KEY) == F.col("__key"), "left")
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return joined.withColumn("spans", F.coalesce("spans", none)).drop(DOC_KEY, "__key")
+    return joined.withColumns({c: _or_empty(c, spans) for c in ("spans", "links")}).drop(DOC_KEY, "__key")
+
+
+def _or_empty(column: str, like: DataFrame) -> Column:
+    return F.coalesce(column, F.array().cast(like.schema[column].dataType))
