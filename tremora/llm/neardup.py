@@ -323,7 +323,12 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         F.min(F.struct("node", "doc_id", "n_shingles", "bands", "sketch", "parity")).alias("c")
     )
     classes = classes.select("set_id", "c.*").withColumnRenamed("doc_id", "id")
-    classes = stored(classes.withColumn("nid", F.coalesce("id", F.xxhash64("set_id"))), "classes")
+    # An id with several sets names none of them: those go by their sets.
+    several = whole.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other"))
+    several = several.where("one <> other").select(F.col("doc_id").alias("several"))
+    classes = classes.join(several, F.col("id") == F.col("several"), "left")
+    nid = F.when(F.col("several").isNull(), F.col("id"))
+    classes = stored(classes.withColumn("nid", F.coalesce(nid, F.xxhash64("set_id"))).drop("several"), "classes")
 
     buckets = stored(classes.select(F.explode("bands").alias("bucket"), "nid"), "buckets")
     hubs = buckets.groupBy("bucket").agg(F.min("nid").alias("hub"), F.count("*").alias("n"))
@@ -332,7 +337,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     stars = shared.where("hub <> nid").selectExpr("hub AS nid_a", "nid AS nid_b").distinct()
     links = stored(_links(docs, classes, stars, width, percent, bits), "links")
 
-    # Same id, other set: such classes share a nid and meet in no bucket as two, so compare them.
+    # Two sets of one 64-bit name (a chance of n^2 / 2^65) meet in no bucket as two: compare them.
     twins = classes.groupBy("nid").count().where("count > 1").selectExpr("nid AS nid_a", "nid AS nid_b")
     open_pairs = _open_pairs(classes, shared, components(links), percent).union(twins).distinct()
     more = _links(docs, classes, open_pairs, width, percent, bits)
