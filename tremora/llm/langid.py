@@ -10,15 +10,22 @@ as consecutive pieces of equal size, at most ``PIECE`` bytes, that cover all of
 are the mean of theirs; in learning as in prediction. Pieces overlap by ``LONGEST - 1`` bytes, so
 no n-gram is lost between them.
 
+Scoring is one product per batch of pieces: the sparse matrix of presences (pieces by n-grams of
+the landmarks) times the dense matrix of what each n-gram adds to each language's value, which is the
+landmarks' presences times the Nyström map times the regression. Languages are taken in blocks of
+columns, so that the dense matrix has a bounded size, in each worker and in the broadcast.
+
 Learning takes a bounded sample of labelled texts on the driver: about ``TRAIN_PER_LANG`` of each
-language, fewer if all together would be more than ``TRAIN_ALL``, but at least one. Every language
-with a usable text is learned. ``LANDMARKS`` of the texts' pieces, over all languages, serve as
-landmarks, or one of each language if there are more. Prediction reads every byte of every text,
-in the tasks, and nothing but the text.
+language, fewer if all together would be more than ``TRAIN_ALL``, but at least one; of a text longer
+than ``TRAIN_PARTS`` parts of ``TRAIN_PART`` characters, so many parts spread over it, cut in the tasks.
+Every language with a usable text is learned. ``LANDMARKS`` of the texts' pieces, over all languages,
+serve as landmarks, or one of each language if there are more. Prediction reads every byte of every
+text, in the tasks, and nothing but the text.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0. Labels that are
 null do not count. Without any labelled text all are ``und``. Ties go to the language first in
-order.
+order. Repeated rows have the same result. Long texts are read whole. Other columns are kept; lang_pred
+and score are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,9 +43,10 @@ from tremora.llm.common import append_columns, small, text_batches
 
 LONGEST, PIECE = 4, 4096
 SYMBOL = 9  # bits of a byte in an n-gram: 1 to 256, 0 behind the end
-MOST_CELLS = 1 << 24  # of a table of n-grams by languages
+MOST_CELLS = 1 << 21  # of the dense matrix of n-grams by a block of languages
 MOST_BROADCAST = 100_000
-TRAIN_PER_LANG, TRAIN_ALL, LANDMARKS = 400, 80_000, 96
+TRAIN_PER_LANG, TRAIN_ALL, LANDMARKS = 400, 20_000, 96
+TRAIN_PARTS, TRAIN_PART = 4, 2048
 RIDGE = 1e-3
 SHARPNESS = 6.0
 LETTER = regex.compile(r"\p{L}")
@@ -69,6 +77,23 @@ def grams(piece: np.ndarray) -> np.ndarray:
     return np.concatenate(found[::-1])
 
 
+def presence_product(places: list[np.ndarray], dense: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+    """The matrix of ones at ``places`` (row by row) times ``dense``."""
+    made = np.zeros((len(places), dense.shape[1]))
+    sizes = np.array([len(p) for p in places])
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(places):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + at_once, side="right")))
+        rows = start + np.flatnonzero(sizes[start:stop])
+        if len(rows):
+            taken = dense[np.concatenate([places[i] for i in rows])]
+            made[rows] = np.add.reduceat(taken, np.cumsum(sizes[rows]) - sizes[rows], axis=0)
+        start = stop
+    return made
+
+
 @dataclass
 class Landmarks:
     grams: np.ndarray  # those of all landmarks, in order
@@ -96,13 +121,14 @@ class Landmarks:
         common = np.bincount(self.owners[each], minlength=len(self.sizes))
         return common / np.sqrt(self.sizes * max(1, len(found)))
 
-    def table(self, weights: np.ndarray) -> np.ndarray:
-        """What each n-gram adds to the values: ``kernel(g) @ weights`` is the sum of its rows for
-        g, over the root of the number of n-grams."""
-        made = np.zeros((len(self.grams), weights.shape[1]))
+    def dense(self, weights: np.ndarray) -> np.ndarray:
+        """What each n-gram adds to the values: presences of the landmarks' n-grams, each landmark's
+        over the root of its size, times ``weights``."""
         each = np.repeat(np.arange(len(self.grams)), np.diff(self.starts))
-        for n, size in enumerate(self.sizes):
-            made[each[self.owners == n]] += weights[n] / np.sqrt(size)
+        made = np.zeros((len(self.grams), weights.shape[1]))
+        scaled = weights / np.sqrt(self.sizes)[:, None]
+        for column in range(weights.shape[1]):
+            made[:, column] = np.bincount(each, scaled[self.owners, column], minlength=len(self.grams))
         return made
 
 
@@ -111,15 +137,26 @@ class Classifier:
     languages: list[str]
     landmarks: Landmarks | None
     weights: np.ndarray  # landmarks x languages: the Nyström map times the regression
-    table: np.ndarray | None  # the same by n-gram, if small enough
+    first: np.ndarray | None = None  # the dense matrix of the first block of languages
 
-    def values(self, texts: list[str]) -> np.ndarray:
-        return np.array([np.mean([self._piece(grams(p)) for p in pieces(t)], axis=0) for t in texts])
+    def blocks(self):
+        """Column ranges of the dense matrix, and the matrix of each."""
+        width = max(1, MOST_CELLS // max(1, len(self.landmarks.grams)))
+        for lo in range(0, len(self.languages), width):
+            hi = min(lo + width, len(self.languages))
+            yield lo, hi, self.first if not lo and self.first is not None else self.landmarks.dense(self.weights[:, lo:hi])
 
-    def _piece(self, found: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            return self.landmarks.kernel(found) @ self.weights
-        return self.table[self.landmarks.places(found)].sum(axis=0) / np.sqrt(max(1, len(found)))
+    def values(self, texts: list[str]) -> np.ndarray:
+        """Mean values of the pieces of each text."""
+        found = [[grams(p) for p in pieces(t)] for t in texts]
+        places = [self.landmarks.places(g) for parts in found for g in parts]
+        sizes = np.array([len(g) for parts in found for g in parts])
+        many = np.array([len(parts) for parts in found])
+        made = np.zeros((len(texts), len(self.languages)))
+        for lo, hi, dense in self.blocks():
+            product = presence_product(places, dense) / np.sqrt(np.maximum(1, sizes))[:, None]
+            made[:, lo:hi] = np.add.reduceat(product, np.cumsum(many) - many, axis=0) / many[:, None]
+        return made
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         named, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -138,7 +175,7 @@ class Classifier:
 def train(texts: list[str], labels: list[str]) -> Classifier:
     languages = sorted(set(labels))
     if not languages:
-        return Classifier([], None, np.zeros((0, 0)), None)
+        return Classifier([], None, np.zeros((0, 0)))
     cut = [pieces(t) for t in texts]
     # Landmarks: the first pieces of each language's texts in turn, then the second ones.
     turn: dict[str, int] = {}
@@ -166,8 +203,9 @@ def train(texts: list[str], labels: list[str]) -> Classifier:
         np.add.at(right, part, 2 * weighted)
         right -= weighted.sum(axis=0)
     weights = mapping @ np.linalg.solve(left, right.T)
-    fits = len(landmarks.grams) * len(languages) <= MOST_CELLS
-    return Classifier(languages, landmarks, weights, landmarks.table(weights) if fits else None)
+    classifier = Classifier(languages, landmarks, weights)
+    classifier.first = next(classifier.blocks())[2]
+    return classifier
 
 
 def fit(docs: DataFrame, usable: Column) -> Classifier:
@@ -180,7 +218,13 @@ def fit(docs: DataFrame, usable: Column) -> Classifier:
     each = max(1, min(TRAIN_PER_LANG, TRAIN_ALL // max(1, len(counts))))
     bounds = [(r["lang"], max(each / r["n"], r["least"])) for r in counts]
     shares = small(docs.sparkSession.createDataFrame(bounds, "lang string, most double"), MOST_BROADCAST)
-    chosen = known.select("doc_id", "lang", "text").join(shares, "lang").where(draw <= F.col("most"))
+    parts = F.ceil(F.length("text") / TRAIN_PART)
+    spread = F.transform(
+        F.sequence(F.lit(0), F.lit(TRAIN_PARTS - 1)),
+        lambda i: F.substring("text", (F.floor(i * (parts - 1) / (TRAIN_PARTS - 1)) * TRAIN_PART + 1).cast("int"), F.lit(TRAIN_PART)),
+    )
+    text = F.when(parts > TRAIN_PARTS, F.array_join(spread, "\n")).otherwise(F.col("text"))
+    chosen = known.select("doc_id", "lang", text.alias("text")).join(shares, "lang").where(draw <= F.col("most"))
     rows = chosen.drop("most").limit(2 * each * max(1, len(counts))).collect()
     rows = sorted((r for r in rows if LETTER.search(r["text"])), key=lambda r: (str(r["doc_id"]), r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
