@@ -5,13 +5,15 @@ over each chunk; a filter's weights are one number per place and byte value, so
 sum of table look-ups. Each filter is max-pooled within its chunk; the mean and the largest of
 the chunks' values are combined by a logistic unit into the probability of label 1.
 
-Training takes a bounded sample of labelled rows on the driver (``TRAIN_DOCS`` texts, of each at
-most ``TRAIN_CHUNKS`` chunks spread over it); scoring takes every byte of every text, in the
-tasks. Only bytes of the text are inputs.
+Training takes a bounded sample of labelled rows on the driver (about ``TRAIN_DOCS`` texts, of each at
+most ``TRAIN_CHUNKS`` chunks of 256 bytes spread over it, cut in the tasks: texts do not reach the
+driver); scoring takes every byte of every text, in the tasks. Only bytes of the text are inputs.
 
 Defined cases: a null text counts as empty; an empty text is one chunk of padding and has a
 score like any other. Labels that are null do not count, and repeated labels of a document count
-each. With labels of one kind only, or none, the score is the smoothed share of label 1.
+each. With labels of one kind only, or none, the score is the smoothed share of label 1. Repeated
+rows have the same score. Long texts are scored whole, a part at a time. Other columns are kept; a
+column score is replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -133,9 +135,14 @@ class Adam:
 
 
 def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Network:
+    return train_on([chunks_of(np.frombuffer(t, np.uint8), TRAIN_CHUNKS) for t in texts], labels, steps)
+
+
+def train_on(chunks: list[np.ndarray], labels: list[int], steps: int = STEPS) -> Network:
     """Fit by Adam on the logistic loss; the gradient of a maximum goes to where it was met.
 
-    A small sample is passed through more often, up to the same number of steps.
+    ``chunks`` are those of each text. A small sample is passed through more often, up to the
+    same number of steps.
     """
     network = Network.start()
     share = (sum(labels) + 1) / (len(labels) + 2)
@@ -143,7 +150,6 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Network:
     if len(set(labels)) < 2:
         network.weights[:] = 0
         return network
-    chunks = [chunks_of(np.frombuffer(t, np.uint8), TRAIN_CHUNKS) for t in texts]
     y = np.array(labels, np.float64)
     offset = np.array([network.offset])
     adam = Adam([network.filters, network.bias, network.weights, offset], 0.01)
@@ -179,7 +185,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Network:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAIN_DOCS):
-    """Texts and labels of about ``most`` labelled documents, chosen by a hash of their ids.
+    """Chunks and labels of about ``most`` labelled documents, chosen by a hash of their ids.
 
     Half of them of either label as far as there are enough. Only this sample reaches the driver.
     """
@@ -190,16 +196,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, most: in
     for label, n in counts.items():
         share = F.when(F.col("label") == label, min(1.0, most / 2 / n)).otherwise(share)
     chosen = F.broadcast(known.where(draw < share).limit(2 * most))
-    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "label").limit(2 * most)
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").limit(2 * most)
+
+    def start():
+        def work(batch: pa.RecordBatch):
+            texts = batch.column("text").cast(pa.large_binary())
+            cut = [chunks_of(np.frombuffer(t.as_py() or b"", np.uint8), TRAIN_CHUNKS) for t in texts]
+            return {"chunks": pa.array([c.tobytes() for c in cut], pa.binary())}
+
+        return work
+
+    cut = append_columns(rows, start, [T.StructField("chunks", T.BinaryType())], drop=["text"])
+    found = sorted((tuple(r) for r in cut.select("doc_id", "label", "chunks").collect()))
     weights = {label: max(1.0, n / (most / 2)) for label, n in counts.items()}
-    return [(r["text"] or "").encode() for r in rows], [r["label"] for r in rows], weights
+    return [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in found], [r[1] for r in found], weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Network:
     """Train on the sample, then move the offset back to the labels' true shares."""
-    texts, known, weights = training_sample(docs, labels, usable)
-    network = train(texts, known)
+    chunks, known, weights = training_sample(docs, labels, usable)
+    network = train_on(chunks, known)
     if len(weights) == 2:
         network.offset += float(np.log(weights[1] / weights[0]))
     return network
