@@ -48,6 +48,17 @@ def test_near_duplicates(spark, copies, width, percent):
     assert as_counter(found) == Counter(near_duplicates(copies, width, percent))
 
 
+def test_one_id_with_many_texts(spark):
+    """A third of the rows under one id, all different: no class meets all others of its id."""
+    words = [f"w{i}" for i in range(400)]
+    random_ = random.Random(6)
+    rows = [(7, " ".join(random_.choices(words, k=30))) for _ in range(120)]
+    rows += [(100 + k, " ".join(random_.choices(words, k=30))) for k in range(120)]
+    rows += [(300 + k, rows[k][1]) for k in range(0, 60, 3)] + [(7, rows[200][1]), (None, rows[1][1])]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, TEXT), 3, 85).drop("__doc")
+    assert as_counter(found) == Counter(near_duplicates(rows, 3, 85))
+
+
 def test_keep_one_keeps_columns_and_rows(spark):
     rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z"), (1, "a b c d e f", "x")]
     df = spark.createDataFrame(rows, TEXT + ", component_id string")
