@@ -131,7 +131,7 @@ def test_blocks_are_cut_by_what_they_receive(spark):
         "cell * 0.01D + 0.005D AS latitude", "CAST(1 AS FLOAT) AS seismic_amplitude",
     )
     plan = spatial.plan_blocks(rows, 0.01, target_rows=1_000)
-    sent = spatial._sent_to_blocks(rows, 0.01, 1)
+    sent = spatial.sent_to_blocks(rows, 0.01, 1)
     sizes = plan.assign(sent).groupBy("bx", "by", PIECE).count()
     assert sizes.select("bx", "by").distinct().count() == 4
     assert sizes.agg(F.max("count")).first()[0] <= 2_000

@@ -137,25 +137,30 @@ def sustained(
     )
 
 
+def policy_conditions(policy: Policy) -> dict[str, Column]:
+    """What a sample must meet for each of a policy's four rules."""
+    rate, cpu = F.col("throughput"), F.col("cpu")
+    return {
+        "rate_high": rate > policy.rate_high,
+        "rate_low": rate < policy.rate_low,
+        "cpu_high": cpu > policy.cpu_high,
+        "cpu_low": cpu < policy.cpu_low,
+    }
+
+
 def recommend(metrics: DataFrame, policy: Policy = PRODUCTION, **slicing: int) -> DataFrame:
-    """One recommendation per sample; the first rule that matches wins.
+    """One recommendation per sample; the first rule that matches wins."""
+    conditions = policy_conditions(policy)
+    return decide(sustained(metrics, conditions, policy.duration, policy.min_samples, **slicing), policy)
+
+
+def decide(flagged: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
+    """The recommendation that follows from a sample's debounced flags.
 
     A rate rule that is already at its bound falls through to the next rule. A worker
     rule at its bound matches and asks for nothing.
     """
-    p, rate, cpu = policy, F.col("throughput"), F.col("cpu")
-    flagged = sustained(
-        metrics,
-        {
-            "rate_high": rate > p.rate_high,
-            "rate_low": rate < p.rate_low,
-            "cpu_high": cpu > p.cpu_high,
-            "cpu_low": cpu < p.cpu_low,
-        },
-        p.duration,
-        p.min_samples,
-        **slicing,
-    )
+    p = policy
     parallelism, workers = F.col("parallelism"), F.col("worker_count")
     rules = [
         ("rate_high", parallelism < p.parallelism_max),

@@ -71,12 +71,21 @@ def neighbour_keys(cells: DataFrame, radius: int = 1) -> DataFrame:
     )
 
 
+#: Up to this radius a cell is sent to all cells around it; beyond, along one axis at a time.
+NEAR = 2
+
+
 def neighbourhood_agg(grids: DataFrame, radius: int = 1) -> DataFrame:
     """Statistics of each existing cell together with its surrounding cells.
 
     Every cell sends itself to the cells around it and one hash aggregation adds them
     up. A target nobody stands in has no own copy and is dropped, so no join is needed.
+    With larger radii that would be (2r+1)^2 copies of each cell. All the statistics can be added
+    up in two steps, though, so cells are then summed along columns first (2r+1 copies), and each
+    existing cell gathers those sums along its row (2r+1 look-ups).
     """
+    if radius > NEAR:
+        return _separable(grids, radius)
     sent = (
         grids.withColumn("o", F.explode(offsets(radius, with_centre=True)))
         .withColumn("is_centre", (F.col("o.dx") == 0) & (F.col("o.dy") == 0))
@@ -86,12 +95,24 @@ def neighbourhood_agg(grids: DataFrame, radius: int = 1) -> DataFrame:
     return _finish(merged.where("exists"), CELL)
 
 
+def _separable(grids: DataFrame, radius: int) -> DataFrame:
+    steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("__step")
+    measures = [c for c in grids.columns if c not in (*CELL, "grid_key", "avg_amplitude")]
+    sent = grids.select("gx", "gy", *measures, steps)
+    columns = sent.withColumn("gy", F.col("gy") + F.col("__step")).groupBy(*CELL).agg(*_merged())
+    # The same cell in two grids (merged or not) is one centre.
+    centres = grids.select("gx", F.col("gy").alias("gy")).distinct()
+    asked = centres.select(F.col("gx").alias("__x"), "gy", steps).withColumn("gx", F.col("__x") + F.col("__step"))
+    found = asked.join(columns, CELL).groupBy(F.col("__x"), "gy").agg(*_merged())
+    return _finish(found.withColumnRenamed("__x", "gx"), CELL)
+
+
 def latest_grids(grids: DataFrame, n: int = 1000) -> DataFrame:
     """The ``n`` most recently updated cells."""
     return grids.orderBy(F.desc("last_update"), "grid_key").limit(n)
 
 
-def _sent_to_blocks(readings: DataFrame, size: float, radius: int) -> DataFrame:
+def sent_to_blocks(readings: DataFrame, size: float, radius: int) -> DataFrame:
     """Each reading once for every block (bx, by) in which it counts; HOME marks its own."""
     side = F.lit(BLOCK_CELLS)
 
@@ -114,7 +135,7 @@ def plan_blocks(
 
     Counts what a block receives, copies from the blocks around it included.
     """
-    return plan_pieces(_sent_to_blocks(readings, size, radius), BLOCK, READING_ORDER[0], **limits)
+    return plan_pieces(sent_to_blocks(readings, size, radius), BLOCK, READING_ORDER[0], **limits)
 
 
 def score_spatial(
@@ -139,7 +160,7 @@ def score_spatial(
     """
     order = list(READING_ORDER)
     columns = readings.columns
-    sent = _sent_to_blocks(readings, size, radius)
+    sent = sent_to_blocks(readings, size, radius)
     plan = plan or PiecePlan(tuple(BLOCK), order[0])
     payload = [c for c in columns if c not in order]
     sent = plan.assign(sent).select(
@@ -171,18 +192,60 @@ def score_spatial(
     )
 
 
-def _running_means(columns: list[str], radius: int):
-    """Means over rows sorted by (block, piece, time, id), vectorised per Arrow batch.
+def running_means(x, y, runs, amounts, weights, carry, scored, sums, counts, radius: int):
+    """Means of the ``scored`` rows, and the sums and counts that rows leave in their block's cells.
 
-    Each row is spread over the cells it counts in and summed up per cell in row order.
-    Between batches only the sums of the block in progress are kept: one number pair per
-    cell. HOME is true for a reading to score, false for a copy, NULL for a carry row,
-    which already is a total and stays in its cell.
+    Rows are in order; ``x``, ``y`` are their cells within the block, ``runs`` numbers the blocks
+    that follow each other among them, and ``sums``, ``counts`` are what came before in the
+    first one. Each row is spread over the cells it counts in and summed up per cell in row order.
+    A ``carry`` row already is a total and stays in its cell. The sums returned are the last block's.
     """
     side = BLOCK_CELLS
     span = np.arange(-radius, radius + 1)
     dx, dy = (d.ravel() for d in np.meshgrid(span, span, indexing="ij"))
     centre = len(dx) // 2
+    # Targets of each row, row by row, so that every cell sees rows in order.
+    tx, ty = x[:, None] + dx, y[:, None] + dy
+    inside = (tx >= 0) & (tx < side) & (ty >= 0) & (ty < side)
+    inside[carry] = False
+    inside[carry, centre] = True
+    cell = (runs[:, None] * side * side + tx * side + ty)[inside]
+    repeats = inside.sum(axis=1)
+    by_cell = pd.DataFrame(
+        {SUM: np.repeat(amounts, repeats), COUNT: np.repeat(weights.astype(float), repeats)}
+    ).groupby(cell, sort=False)
+    running = by_cell.cumsum()
+    totals = by_cell.sum()
+
+    # Where each scored row meets its own cell, and what came before the rows there.
+    own = np.zeros(inside.shape, bool)
+    own[scored, centre] = True
+    at = own[inside]
+    own_cell = cell[at]
+    total, n = running[SUM].to_numpy()[at], running[COUNT].to_numpy()[at]
+    goes_on = own_cell < side * side
+    total[goes_on] += sums[own_cell[goes_on]]
+    n[goes_on] += counts[own_cell[goes_on]]
+
+    offset = runs[-1] * side * side
+    if offset:
+        sums, counts = np.zeros(side * side), np.zeros(side * side)
+    else:
+        sums, counts = sums.copy(), counts.copy()
+    codes = totals.index.to_numpy()
+    in_last = codes >= offset
+    sums[codes[in_last] - offset] += totals[SUM].to_numpy()[in_last]
+    counts[codes[in_last] - offset] += totals[COUNT].to_numpy()[in_last]
+    return total / n, sums, counts
+
+
+def _running_means(columns: list[str], radius: int):
+    """Means over rows sorted by (block, piece, time, id), vectorised per Arrow batch.
+
+    Between batches only the sums of the block in progress are kept: one number pair per
+    cell. HOME is true for a reading to score, false for a copy, NULL for a carry row.
+    """
+    side = BLOCK_CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, sums, counts = None, np.zeros(side * side), np.zeros(side * side)
@@ -191,54 +254,25 @@ def _running_means(columns: list[str], radius: int):
                 continue
             group = np.column_stack([batch.column(c).to_numpy() for c in (*BLOCK, PIECE)])
             home = batch.column(HOME)
-            carry = home.is_null().to_numpy(zero_copy_only=False)
             scored = home.fill_null(False).to_numpy(zero_copy_only=False)
-
             starts = np.append(True, (group[1:] != group[:-1]).any(axis=1))
-            runs = np.cumsum(starts) - 1
-            first, last = tuple(group[0]), tuple(group[-1])
-            if first != current:
-                sums, counts = np.zeros(side * side), np.zeros(side * side)
-
-            # Targets of each row, row by row, so that every cell sees rows in order.
-            tx = (batch.column("gx").to_numpy() - group[:, 0] * side)[:, None] + dx
-            ty = (batch.column("gy").to_numpy() - group[:, 1] * side)[:, None] + dy
-            inside = (tx >= 0) & (tx < side) & (ty >= 0) & (ty < side)
-            inside[carry] = False
-            inside[carry, centre] = True
-            cell = (runs[:, None] * side * side + tx * side + ty)[inside]
-            repeats = inside.sum(axis=1)
-            by_cell = pd.DataFrame(
-                {
-                    SUM: np.repeat(batch.column(SUM).to_numpy(), repeats),
-                    COUNT: np.repeat(batch.column(COUNT).to_numpy().astype("float64"), repeats),
-                }
-            ).groupby(cell, sort=False)
-            running = by_cell.cumsum()
-            totals = by_cell.sum()
-
-            # Where each scored row meets its own cell, and what earlier batches left there.
-            own = np.zeros(inside.shape, bool)
-            own[scored, centre] = True
-            at = own[inside]
-            own_cell = cell[at]
-            total, n = running[SUM].to_numpy()[at], running[COUNT].to_numpy()[at]
-            goes_on = own_cell < side * side
-            total[goes_on] += sums[own_cell[goes_on]]
-            n[goes_on] += counts[own_cell[goes_on]]
-
-            # Keep the sums of the last block for the next batch.
-            offset = runs[-1] * side * side
-            if offset:
+            if tuple(group[0]) != current:
                 sums, counts = np.zeros(side * side), np.zeros(side * side)
-            codes = totals.index.to_numpy()
-            in_last = codes >= offset
-            sums[codes[in_last] - offset] += totals[SUM].to_numpy()[in_last]
-            counts[codes[in_last] - offset] += totals[COUNT].to_numpy()[in_last]
-            current = last
-
+            means, sums, counts = running_means(
+                batch.column("gx").to_numpy() - group[:, 0] * side,
+                batch.column("gy").to_numpy() - group[:, 1] * side,
+                np.cumsum(starts) - 1,
+                batch.column(SUM).to_numpy(),
+                batch.column(COUNT).to_numpy(),
+                home.is_null().to_numpy(zero_copy_only=False),
+                scored,
+                sums,
+                counts,
+                radius,
+            )
+            current = tuple(group[-1])
             output = batch.select(columns).filter(pa.array(scored))
-            yield output.append_column("neighbourhood_avg", pa.array(total / n))
+            yield output.append_column("neighbourhood_avg", pa.array(means))
 
     return run
 

@@ -468,4 +468,19 @@ def oracles() -> dict[str, str]:
     found["stream_filter_aggregate"] = found["filter_aggregate"]
     found["stream_first_seen_aggregate"] = found["first_seen_aggregate"]
     found["stream_last_kept_job"] = found["last_kept_aggregate"]
+    found["stream_log_alerts"] = found["log_alerts"]
+    found["stream_payload_roundtrip"] = found["payload_roundtrip"]
+    found["stream_payload_quarantine"] = found["payload_quarantine"]
+    found["stream_compacted_windows"] = window_sql
+    found["neighbourhood_agg_wide"] = found["neighbourhood_agg"].replace("<= 1", "<= 10")
+    found["stream_activity"] = base + " UNION ALL ".join(
+        f"""SELECT sensor_id, {at} AS as_of FROM valid WHERE collect_timestamp <= {at}
+            GROUP BY sensor_id HAVING {at} - max(collect_timestamp) <= 21600000"""
+        for at in (1704844800000, 1705708800000, 1706400000000)
+    )
+    found["stream_progress"] = (
+        base
+        + """SELECT stage, count(*) AS records FROM readings, (SELECT unnest(['input', 'read']) AS stage)
+            GROUP BY stage UNION ALL SELECT 'valid', count(*) FROM valid"""
+    )
     return found

@@ -16,14 +16,15 @@ from tremora.operators import dedup, history, quality, ranking, scaling, spatial
 from tremora.operators.chunks import calendar_pieces, plan_pieces
 from tremora.operators.windows import DAY_MS, window_agg
 from tremora.plans import jobs
-from tremora.schemas import AGGREGATE, READING
+from tremora.schemas import AGGREGATE, PAYLOAD, READING
 from tremora.session import shared_folder, stored
 from tremora.sinks.text import agg_to_csv, format_agg
 from tremora.sources import events, metrics, payloads
 from tremora.sinks.streams import to_csv_files
 from tremora.sources.readings import read_bounded, read_stream
+from tremora.streaming import activity, progress, runner, stateful, tables
+from tremora.streaming import alerts as stream_alerts
 from tremora.streaming import jobs as stream_jobs
-from tremora.streaming import runner, stateful
 from tremora.streaming.windows import window_agg_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,8 @@ POLICY = scaling.Policy(
 )
 # Limits in *_split queries: keys above a few dozen rows are cut.
 SPLIT = {"target_rows": 25}
+ACTIVE_MS = 21_600_000
+INSTANTS = (1_704_844_800_000, 1_705_708_800_000, 1_706_400_000_000)
 # Sensor histories cut every ten days.
 HISTORY_PIECES = calendar_pieces(["sensor_id"], "window_start_ts", 10 * DAY_MS)
 
@@ -354,15 +357,89 @@ def stream_first_seen_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_last_kept_job(spark: SparkSession, sf: str) -> DataFrame:
-    """Dedup, aggregate and line in one stream; history over the table it writes."""
-    stream = stream_jobs.last_kept_aggregate_stream(
-        _flushed(spark, sf), "1 day", "1 hour", **LAST_KEPT
-    )
-    scored = history.with_history(_append(spark, stream, "stream-p3"), 10)
+    """Dedup, aggregate, history and line in one stream that is stopped and started again."""
+    folder = shared_folder(spark, "stream-p3")
+    readings = events.readings(spark, sf).select(READING.fieldNames())
+    parts = [*events.time_slices(readings, "collect_timestamp", SLICES), _flush(spark)]
+    for arriving in (parts[:2], parts[2:]):
+        _write_arrivals(f"{folder}/in", arriving)
+        source = read_stream(spark, f"{folder}/in", FILES_PER_SLICE)
+        stream = stream_jobs.last_kept_history_stream(source, "1 day", "1 hour", 10, **LAST_KEPT)
+        with runner.stream_settings(spark):
+            runner.append_to_table(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    scored = spark.read.schema(stream.schema).parquet(f"{folder}/out")
     columns = ["sensor_id", "window_start_ts", "line", "history_avg", "deviation"]
     return rounded(scored.select(*columns), "history_avg", "deviation")
 
 
+def stream_log_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """log_alerts from log files that arrive one slice of time after the other."""
+    folder = shared_folder(spark, "stream-logs")
+    for part in events.time_slices(events.metrics(spark, sf), "ts", SLICES):
+        lines = part.select("job_id", metrics.log_line().alias("value"))
+        lines.repartition(FILES_PER_SLICE, "job_id").write.mode("append").partitionBy("job_id").text(f"{folder}/in")
+    logged = stream_alerts.read_job_logs_stream(spark, f"{folder}/in", 16).withColumns(
+        {"parallelism": F.lit(6), "worker_count": F.lit(4)}
+    )
+    found = stream_alerts.scaling_alerts_stream(logged, NOW, POLICY, delay="30 days")
+    return _append(spark, found, "stream-alerts").select("job_id", "ts", "alert")
+
+
+def stream_payloads(spark: SparkSession, sf: str, bad: bool = False) -> DataFrame:
+    """Payloads as a stream to two tables, stopped and started again on the way."""
+    folder = shared_folder(spark, "stream-payloads")
+    encoded = events.payloads(spark, sf)
+    for k in range(2):
+        encoded.where(F.col("event_id") % 2 == k).repartition(FILES_PER_SLICE).write.mode("append").parquet(f"{folder}/in")
+        source = read_stream(spark, f"{folder}/in", 1, PAYLOAD)
+        decoded = payloads.decode_payloads(source)
+        out = (f"{folder}/good", f"{folder}/bad")
+        tables.decoded_to_tables(decoded, *out, f"{folder}/state").awaitTermination()
+    shapes = [part.schema for part in payloads.split_decoded(decoded)]
+    return tables.read_batches(spark, out[bad], shapes[bad])
+
+
+def stream_payload_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    found = stream_payloads(spark, sf, bad=True)
+    return found.select("event_id", F.hex("bad_payload").alias("payload_hex"))
+
+
+def stream_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensors active at three instants, from the changes that a stream told."""
+    stream = activity.activity_stream(quality.filter_valid(_flushed(spark, sf)), ACTIVE_MS, "1 hour")
+    changes = _append(spark, stream, "stream-activity")
+    found = [activity.active_at(changes, at).withColumn("as_of", F.lit(at)) for at in INSTANTS]
+    return found[0].union(found[1]).union(found[2])
+
+
+def stream_compacted_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Window aggregates through a change log that is compacted on the way."""
+    folder = shared_folder(spark, "stream-compacted")
+    keys = ["sensor_id", "window_start_ts", "window_end_ts"]
+    stream = window_agg_stream(_replay(spark, sf), "1 day", "1 day")
+    with runner.stream_settings(spark):
+        query = tables.changes_to_compacted_table(stream, f"{folder}/out", f"{folder}/state", keys, every=2)
+        query.awaitTermination()
+    current = tables.read_current(spark, f"{folder}/out", stream.schema, keys)
+    return rounded(current.select(AGGREGATE.fieldNames()), "avg_amplitude")
+
+
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that passed each stage of a stream, from the progress of its micro-batches."""
+    folder = shared_folder(spark, "stream-progress")
+    read = runner.observe_stage(read_stream(spark, _arrivals(spark, sf), FILES_PER_SLICE), "read")
+    stream = runner.observe_stage(quality.filter_valid(read), "valid")
+    log = progress.ProgressLog(spark, f"{folder}/progress")
+    spark.streams.addListener(log)
+    try:
+        runner.append_to_table(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    totals = progress.stage_totals(progress.read_progress(spark, f"{folder}/progress"))
+    return totals.select("stage", "records")
+
+
 def stream_csv_files(spark: SparkSession, sf: str) -> DataFrame:
     """Aggregates to rolling CSV files, read back."""
     folder = shared_folder(spark, "stream-csv")
@@ -508,6 +585,13 @@ def registered() -> dict[str, Query]:
         "stream_first_seen_aggregate": stream_first_seen_aggregate,
         "stream_last_kept_job": stream_last_kept_job,
         "stream_csv_files": stream_csv_files,
+        "stream_log_alerts": stream_log_alerts,
+        "stream_payload_roundtrip": stream_payloads,
+        "stream_payload_quarantine": stream_payload_quarantine,
+        "stream_activity": stream_activity,
+        "stream_compacted_windows": stream_compacted_windows,
+        "stream_progress": stream_progress,
+        "neighbourhood_agg_wide": lambda s, d: _grid_output(spatial.neighbourhood_agg(_grids(s, d), 10)),
     }
     return queries
 

@@ -9,14 +9,15 @@ LINE = r"^(\d+),throughput:([^,]*),cpu:([^,]*)$"
 
 
 def parse_metrics(lines: DataFrame, job_id: str | Column, column: str = "value") -> DataFrame:
-    """Lines of another shape are left out (see odd_lines); a value that is no number is 0."""
+    """Lines of another shape are left out (see odd_lines); a value that is no number is 0,
+    a time beyond 64 bits NULL."""
 
     def part(i: int):
         return F.regexp_extract(column, LINE, i)
 
     return lines.where(F.col(column).rlike(LINE)).select(
         (job_id if isinstance(job_id, Column) else F.lit(job_id)).alias("job_id"),
-        part(1).cast("bigint").alias("ts"),
+        part(1).try_cast("bigint").alias("ts"),
         F.coalesce(part(2).try_cast("bigint"), F.lit(0).cast("bigint")).alias("throughput"),
         F.coalesce(part(3).try_cast("double"), F.lit(0.0)).alias("cpu"),
     )

@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tremora.functions.grid import DEFAULT_CELL, offsets
+from tremora.functions.grid import DEFAULT_CELL
 from tremora.functions.readings import event_time
 from tremora.operators.dedup import close_amplitude
-from tremora.operators.spatial import with_cell
+from tremora.operators.spatial import BLOCK, BLOCK_CELLS, CELL, HOME, running_means, sent_to_blocks
 from tremora.schemas import READING_ORDER
 
 TS, ID = READING_ORDER
@@ -104,20 +105,34 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
-class CellMean(StatefulProcessor):
-    """Running sum and count of the readings sent to a cell; emits the cell's own readings."""
+class BlockMeans(StatefulProcessor):
+    """Running sums and counts of a block's cells; emits the block's own readings."""
+
+    def __init__(self, columns: list[str], radius: int):
+        self.columns, self.radius = columns, radius
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "n bigint, total double")
+        self.cells = handle.getValueState("cells", "n array<bigint>, total array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self.totals.get() or (0, 0.0)
+        n, total = self.cells.get() or ([0] * BLOCK_CELLS**2, [0.0] * BLOCK_CELLS**2)
         frame = in_order(rows)
-        sums = frame["seismic_amplitude"].astype("float64").cumsum() + total
-        counts = pd.RangeIndex(n + 1, n + 1 + len(frame))
-        frame["neighbourhood_avg"] = sums / counts
-        self.totals.update((int(counts[-1]), float(sums.iloc[-1])))
-        yield frame[frame["own_cell"]].drop(columns=["own_cell", "tx", "ty"])
+        home = frame["in_block"].to_numpy(bool)
+        means, total, n = running_means(
+            frame["gx"].to_numpy() - key[0] * BLOCK_CELLS,
+            frame["gy"].to_numpy() - key[1] * BLOCK_CELLS,
+            np.zeros(len(frame), np.int64),
+            frame["amount"].to_numpy(float),
+            np.ones(len(frame)),
+            np.zeros(len(frame), bool),
+            home,
+            np.array(total, float),
+            np.array(n, float),
+            self.radius,
+        )
+        self.cells.update((n.astype(int).tolist(), total.tolist()))
+        scored = frame.loc[home, self.columns]
+        yield scored.assign(neighbourhood_avg=means)
 
     def close(self) -> None:
         pass
@@ -155,22 +170,26 @@ def dedup_first_seen_stream(
 def score_spatial_stream(
     readings: DataFrame, size: float = DEFAULT_CELL, radius: int = 1
 ) -> DataFrame:
-    """Stream form of score_spatial: each reading goes to the cells around it."""
-    sent = (
-        with_cell(readings, size)
-        .withColumn("o", F.explode(offsets(radius, with_centre=True)))
-        .select(
-            *readings.columns,
-            (F.col("gx") + F.col("o.dx")).alias("tx"),
-            (F.col("gy") + F.col("o.dy")).alias("ty"),
-            ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("own_cell"),
-        )
+    """Stream form of score_spatial: readings travel to blocks of 8 x 8 cells.
+
+    A reading is copied to the blocks within ``radius`` cells only (1.56 copies on average for
+    r = 1, where sending it to every cell would make nine); a copy carries place, order and
+    amplitude. Readings without a position are left out.
+    """
+    order = list(READING_ORDER)
+    sent = sent_to_blocks(readings, size, radius).select(
+        *BLOCK,
+        *CELL,
+        *order,
+        F.col("seismic_amplitude").cast("double").alias("amount"),
+        F.col(HOME).alias("in_block"),
+        *[F.when(F.col(HOME), F.col(c)).alias(c) for c in readings.columns if c not in order],
     )
     schema = T.StructType(
         [*readings.schema.fields, T.StructField("neighbourhood_avg", T.DoubleType())]
     )
     average = F.col("neighbourhood_avg")
-    return _stateful(sent, ["tx", "ty"], CellMean(), schema).withColumn(
+    return stateful(sent, BLOCK, BlockMeans(readings.columns, radius), schema).withColumn(
         "spatial_ratio",
         F.when(average > 0, F.col("seismic_amplitude").cast("double") / average).otherwise(
             F.lit(0.0)
@@ -180,12 +199,12 @@ def score_spatial_stream(
 
 def _per_sensor(readings: DataFrame, processor: StatefulProcessor, delay: str | None) -> DataFrame:
     if delay is None:
-        return _stateful(readings, ["sensor_id"], processor, readings.schema)
+        return stateful(readings, ["sensor_id"], processor, readings.schema)
     timed = readings.withColumn("event_time", event_time()).withWatermark("event_time", delay)
-    return _stateful(timed, ["sensor_id"], processor, timed.schema, "EventTime", "event_time")
+    return stateful(timed, ["sensor_id"], processor, timed.schema, "EventTime", "event_time")
 
 
-def _stateful(
+def stateful(
     df: DataFrame,
     keys: list[str],
     processor: StatefulProcessor,
