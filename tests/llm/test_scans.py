@@ -378,6 +378,37 @@ def test_neighbours_recall_and_exact_scores(spark, data_dir):
     assert hits >= 0.9 * 5 * len(found)
 
 
+def test_clustered_vectors_need_few_visits(spark, monkeypatch):
+    """Cells that cannot hold a neighbour are passed over, and nothing is lost by it."""
+    random_ = np.random.default_rng(3)
+    centres = random_.normal(size=(24, 16))
+    vectors = np.concatenate([c + 0.02 * random_.normal(size=(80, 16)) for c in centres])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(77, v.tolist()) for v in centres[3] + 0.02 * random_.normal(size=(600, 16))]  # one id, a quarter of the rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    seen, inner = [], neighbours.with_visits
+
+    def counted(queries, books, sizes, radii, share, k):
+        made = inner(queries, books, sizes, radii, share, k)
+        for r in made.select("visits").collect():
+            met = sum(sizes[v.slab, c, 0] for v in r.visits for c in range(32) if v.cells >> c & 1)
+            seen.append(met / sizes[..., 0].sum())
+        return made
+
+    monkeypatch.setattr(neighbours, "with_visits", counted)
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 25 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(seen) == 77 and np.mean(seen) < 0.2
+    every = np.array([v for _, v in rows])
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in rows])
+    for q, near in found.items():
+        scores = every @ every[q]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:5]
+        assert [i for i, _ in near] == ids[order].tolist()
+
+
 def test_neighbours_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0])]
