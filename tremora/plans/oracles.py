@@ -472,6 +472,7 @@ def oracles() -> dict[str, str]:
     found["stream_payload_roundtrip"] = found["payload_roundtrip"]
     found["stream_payload_quarantine"] = found["payload_quarantine"]
     found["stream_compacted_windows"] = window_sql
+    found["stream_queues"] = base + "SELECT * FROM readings"
     found["neighbourhood_agg_wide"] = found["neighbourhood_agg"].replace("<= 1", "<= 10")
     found["stream_activity"] = base + " UNION ALL ".join(
         f"""SELECT sensor_id, {at} AS as_of FROM valid WHERE collect_timestamp <= {at}

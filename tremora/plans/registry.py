@@ -19,7 +19,7 @@ from tremora.plans import jobs
 from tremora.schemas import AGGREGATE, PAYLOAD, READING
 from tremora.session import shared_folder, stored
 from tremora.sinks.text import agg_to_csv, format_agg
-from tremora.sources import events, metrics, payloads
+from tremora.sources import events, metrics, payloads, segments
 from tremora.sinks.streams import to_csv_files
 from tremora.sources.readings import read_bounded, read_stream
 from tremora.streaming import activity, progress, runner, stateful, tables
@@ -399,6 +399,20 @@ def stream_payloads(spark: SparkSession, sf: str, bad: bool = False) -> DataFram
     return tables.read_batches(spark, out[bad], shapes[bad])
 
 
+def stream_queues(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings through logs of four queues: read in parts, stopped, and gone on after more came."""
+    folder = shared_folder(spark, "stream-queues")
+    readings = events.readings(spark, sf).select(READING.fieldNames())
+    for part in events.time_slices(readings, "collect_timestamp", SLICES):
+        line = F.to_json(F.struct(*READING.fieldNames())).alias("value")
+        rows = part.select(F.format_string("q%d", F.pmod("event_id", F.lit(4))).alias("queue"), line, "event_id")
+        segments.append_segments(rows, f"{folder}/logs", "event_id")
+        records = segments.read_segments_stream(spark, f"{folder}/logs", split_bytes=100_000)
+        found = records.select(F.from_json("value", READING).alias("r")).select("r.*")
+        runner.append_to_table(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(READING).parquet(f"{folder}/out")
+
+
 def stream_payload_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     found = stream_payloads(spark, sf, bad=True)
     return found.select("event_id", F.hex("bad_payload").alias("payload_hex"))
@@ -589,6 +603,7 @@ def registered() -> dict[str, Query]:
         "stream_payload_roundtrip": stream_payloads,
         "stream_payload_quarantine": stream_payload_quarantine,
         "stream_activity": stream_activity,
+        "stream_queues": stream_queues,
         "stream_compacted_windows": stream_compacted_windows,
         "stream_progress": stream_progress,
         "neighbourhood_agg_wide": lambda s, d: _grid_output(spatial.neighbourhood_agg(_grids(s, d), 10)),
