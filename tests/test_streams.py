@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import subprocess
+import sys
 import time
 
 import pytest
@@ -11,7 +15,7 @@ from tremora.operators import dedup, quality, spatial
 from tremora.operators.windows import DAY_MS, window_agg
 from tremora.plans import registry
 from tremora.schemas import AGGREGATE
-from tremora.sinks.streams import to_console, to_csv_files, to_memory
+from tremora.sinks.streams import to_csv_files, to_memory
 from tremora.sinks.text import format_agg
 from tremora.sources import events
 from tremora.sources.readings import read_stream
@@ -171,10 +175,26 @@ def test_progress_carries_stage_counts(spark, folder, valid, tmp_path):
     assert stages["p_waves_records"] == valid.where("phase_type = 'P'").count()
 
 
-def test_console(spark, folder, valid):
-    # The JVM prints to its own standard output; the progress shows what went there.
-    writer = to_console(read_stream(spark, folder).select("sensor_id"))
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    progress = query.lastProgress
-    assert "Console" in progress.sink.description and progress.numInputRows == valid.count()
+CONSOLE = """
+import sys
+from pyspark.sql import functions as F
+from tremora.session import local_session
+from tremora.sinks.streams import to_console
+from tremora.sources.readings import read_stream
+
+spark = local_session("2", "console")
+rows = read_stream(spark, sys.argv[1]).where("event_id < 15").select("event_id", "sensor_id")
+to_console(rows).trigger(availableNow=True).start().awaitTermination()
+"""
+
+
+def test_console(valid, folder):
+    """The JVM prints to its own standard output, so the job runs in a process of its own."""
+    done = subprocess.run(
+        [sys.executable, "-c", CONSOLE, folder], capture_output=True, text=True, timeout=300,
+        env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))},
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    printed = re.findall(r"^\|\s*(\d+)\s*\|\s*(\S+)\s*\|$", done.stdout, re.M)
+    expected = [(str(r.event_id), r.sensor_id) for r in valid.where("event_id < 15").collect()]
+    assert "Batch: 0" in done.stdout and sorted(printed) == sorted(expected)

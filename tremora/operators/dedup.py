@@ -343,18 +343,21 @@ def dedup_stats(flagged: DataFrame) -> DataFrame:
 
     One pass over the flagged readings, combined before the exchange.
     """
-    return (
-        flagged.rollup(SENSOR)
-        .agg(
+    return with_shares(
+        flagged.rollup(SENSOR).agg(
             F.count(F.lit(1)).alias("input_count"),
             F.count_if(~F.col(DUPLICATE)).alias("output_count"),
             F.count_if(DUPLICATE).alias("skipped_count"),
         )
-        .withColumn(
-            "skip_percent",
-            F.coalesce(
-                F.try_divide(F.col("skipped_count") * F.lit(100.0), F.col("input_count")),
-                F.lit(0.0),
-            ),
-        )
     )
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    share = F.try_divide(F.col("skipped_count") * F.lit(100.0), F.col("input_count"))
+    return counts.withColumn("skip_percent", F.coalesce(share, F.lit(0.0)))
+
+
+def merged_stats(per_sensor: DataFrame) -> DataFrame:
+    """dedup_stats from counts per sensor that were kept elsewhere, such as by a stream."""
+    sums = [F.sum(c).alias(c) for c in ("input_count", "output_count", "skipped_count")]
+    return with_shares(per_sensor.rollup(SENSOR).agg(*sums))

@@ -438,6 +438,18 @@ def stream_compacted_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(current.select(AGGREGATE.fieldNames()), "avg_amplitude")
 
 
+def stream_dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Running deduplication statistics, read from a compacted change log."""
+    folder = shared_folder(spark, "stream-stats")
+    stream = stateful.dedup_stats_stream(_replay(spark, sf), **LAST_KEPT)
+    with runner.stream_settings(spark):
+        tables.changes_to_compacted_table(
+            stream, f"{folder}/out", f"{folder}/state", ["sensor_id"], every=2, mode="append"
+        ).awaitTermination()
+    current = tables.read_current(spark, f"{folder}/out", stream.schema, ["sensor_id"])
+    return rounded(dedup.merged_stats(current), "skip_percent")
+
+
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Records that passed each stage of a stream, from the progress of its micro-batches."""
     folder = shared_folder(spark, "stream-progress")
@@ -606,6 +618,7 @@ def registered() -> dict[str, Query]:
         "stream_queues": stream_queues,
         "stream_compacted_windows": stream_compacted_windows,
         "stream_progress": stream_progress,
+        "stream_dedup_stats": stream_dedup_stats,
         "neighbourhood_agg_wide": lambda s, d: _grid_output(spatial.neighbourhood_agg(_grids(s, d), 10)),
     }
     return queries

@@ -24,6 +24,14 @@ from tremora.operators.spatial import BLOCK, BLOCK_CELLS, CELL, HOME, running_me
 from tremora.schemas import READING_ORDER
 
 TS, ID = READING_ORDER
+STATISTICS = T.StructType(
+    [
+        T.StructField("sensor_id", T.StringType()),
+        T.StructField("input_count", T.LongType()),
+        T.StructField("output_count", T.LongType()),
+        T.StructField("skipped_count", T.LongType()),
+    ]
+)
 
 
 def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -75,6 +83,22 @@ class LastKept(StatefulProcessor):
         pass
 
 
+class LastKeptStatistics(LastKept):
+    """Counts what LastKept lets pass and drops; emits a sensor's running counts per micro-batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.counts = handle.getValueState("counts", "seen bigint, kept bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        kept = sum(len(frame) for frame in super().handleInputRows(key, iter(frames), timerValues))
+        seen, before = self.counts.get() or (0, 0)
+        seen, kept = seen + sum(map(len, frames)), before + kept
+        self.counts.update((seen, kept))
+        yield pd.DataFrame([(key[0], seen, kept, seen - kept)], columns=STATISTICS.fieldNames())
+
+
 class FirstSeen(StatefulProcessor):
     """Drops readings close to the sensor's first one; see operators.dedup.flag_first_seen."""
 
@@ -154,6 +178,17 @@ def dedup_last_kept_stream(
     return _per_sensor(readings, processor, delay)
 
 
+def dedup_stats_stream(
+    readings: DataFrame, amplitude_threshold: float = 0.5, gap_ms: int = 100, ttl_ms: int = 60_000
+) -> DataFrame:
+    """Running statistics of dedup_last_kept_stream: a row per sensor and micro-batch.
+
+    Counts are totals since the stream's start, over restarts too; the newest row of a sensor
+    holds. Write them with tables.changes_to_compacted_table and add shares with with_shares.
+    """
+    return stateful(readings, ["sensor_id"], LastKeptStatistics(amplitude_threshold, gap_ms, ttl_ms), STATISTICS)
+
+
 def dedup_first_seen_stream(
     readings: DataFrame,
     amplitude_threshold: float = 0.01,

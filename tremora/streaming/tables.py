@@ -113,12 +113,22 @@ def write_changes(path: str, schema: T.StructType, keys: list[str], every: int)
 
 
 def changes_to_compacted_table(
-    stream: DataFrame, path: str, checkpoint: str, keys: list[str], every: int = 50, trigger: str | None = None
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: list[str],
+    every: int = 50,
+    trigger: str | None = None,
+    mode: str = "update",
 ) -> StreamingQuery:
-    """changes_to_table with compaction: a reader meets one base and fewer than ``every`` batches."""
+    """changes_to_table with compaction: a reader meets one base and fewer than ``every`` batches.
+
+    Aggregates tell their changes in ``update`` mode; a stateful operator that emits its newest
+    rows itself takes ``append``.
+    """
     write = write_changes(path, stream.schema, keys, every)
     when = {"processingTime": trigger} if trigger else {"availableNow": True}
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     return query.foreachBatch(write).trigger(**when).start()
 
 
