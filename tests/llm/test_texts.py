@@ -134,6 +134,38 @@ def test_proximity(spark):
     assert near == {1: set(), 3: {2}, 8: {1, 2}}
 
 
+def near_by_definition(rows, items, size, slop):
+    """Places of a window's rarest term that have all its other terms within ``slop`` words, by doc_id."""
+    texts = {i: (t or "").lower().split() for i, t in rows}
+    counts = Counter(w for words in texts.values() for w in words)
+    windows = set()
+    for _, text in items:
+        words = text.split()
+        windows |= {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    found = {}
+    for doc_id, words in texts.items():
+        places = set()
+        for window in windows:
+            terms = sorted(set(window), key=lambda t: (counts[t], window.index(t)))
+            if len(terms) < 2 or not all(counts[t] for t in terms):
+                continue
+            for at, word in enumerate(words):
+                if word == terms[0] and set(terms) <= set(words[max(0, at - slop) : at + slop + 1]):
+                    places.add(at)
+        found[doc_id] = len(places)
+    return found
+
+
+@pytest.mark.parametrize("slop", [2, 5, 12])
+def test_proximity_column(spark, slop):
+    random_ = random.Random(slop)
+    rows = [(i, " ".join(random_.choices("abcdefgh", k=random_.randint(0, 60)))) for i in range(60)] + [(99, None)]
+    items = [(i, " ".join(random_.choices("abcdefghz", k=random_.randint(1, 9)))) for i in range(25)] + [(77, "a a a")]
+    docs, tests = spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs, tests, 4, slop).select("doc_id", "n_near").collect()
+    assert {r.doc_id: r.n_near for r in found} == near_by_definition(rows, items, 4, slop)
+
+
 @pytest.mark.parametrize("seed,min_words", [(1, 1), (2, 3), (3, 4), (4, 6), (5, 9)])
 def test_line_dedup(spark, seed, min_words):
     random_ = random.Random(seed)

@@ -4,13 +4,15 @@ The index holds a posting (document, position, term) for every occurrence in the
 of a term that the test texts use; terms that no test text has can never be asked for. A phrase
 is found by intersecting posting lists after subtracting each term's offset in the phrase: first
 the lists of its two rarest terms, then, only in documents that survive, the lists of the rest.
+Proximity matches, where a window's words stand close together in any order, are found the same way.
 
 Everything is DataFrame operations. The tables made from test texts are broadcast only if a
 count proves them small; otherwise Spark shuffles.
 
 Defined cases: a null text has no words; an item without words is never found; repeated items
 with one id count once and an item without an id counts as the empty id; repeated rows have the
-same result. Further columns are ignored.
+same result. Terms of equal rarity go by their place in the window. Long texts are indexed whole. With
+either table empty nothing is found. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,37 +106,52 @@ class PositionalIndex:
         )
 
     def proximity(self, windows: DataFrame, slop: int) -> DataFrame:
-        """DOC_KEY, pos, window_id where all terms of a window lie within ``slop`` words of its
-        rarest term (at ``pos``), in any order.
+        """DOC_KEY, pos, window_id where all terms of a window lie within ``slop`` words of an
+        occurrence (``pos``) of its rarest term, in any order. A window needs two different terms.
 
-        Positions are cut into blocks of ``slop`` words; an anchor meets its own block and the
-        two beside it.
+        Rarest terms first: places of a rarest term that have the second rarest in reach are found by
+        a walk over both terms' postings in order. Only around these few places the other
+        terms are looked up, in the ``2 slop + 1`` postings there.
         """
-        terms = self._terms_of(windows)
-        distinct = terms.groupBy("window_id", "term_id").agg(F.min("rank").alias("rank"))
-        order = Window.partitionBy("window_id").orderBy("rank")
-        distinct = distinct.withColumn("number", F.row_number().over(order) - 1)
-        places = self.postings.join(small(distinct, MOST_TERMS), "term_id").withColumn(
-            "block", F.expr(f"pos div {int(slop) + 1}")
-        )
-        total = distinct.groupBy("window_id").agg(F.count("*").alias("total"))
-        anchors = places.where("number = 0").select(
-            DOC_KEY, "window_id", F.col("pos").alias("at"),
-            F.explode(F.expr("array(block - 1, block, block + 1)")).alias("block"),
+        ranked = self._terms_of(windows).groupBy("window_id", "term_id").agg(F.min("rank").alias("rank"))
+        terms = ranked.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term_id"))).alias("t"))
+        terms = terms.where("size(t) > 1").select(
+            "window_id", F.col("t")[0]["term_id"].alias("first"), F.col("t")[1]["term_id"].alias("second"),
+            F.transform("t", lambda x: x["term_id"]).alias("terms"),
         )
-        met = anchors.join(places, [DOC_KEY, "window_id", "block"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
-        met = met.groupBy(DOC_KEY, "window_id", "at").agg(
-            F.bit_count(F.bit_or(F.expr("shiftleft(1L, number)"))).alias("met")
-        )
-        found = met.join(small(total, MOST_TERMS), "window_id").where("met = total")
-        return found.select(DOC_KEY, F.col("at").alias("pos"), "window_id")
+        terms = stored(terms, "window-pairs")
+        # Windows of an item overlap, so many have their two rarest terms in common.
+        pairs = terms.select("first", "second").distinct()
+        roles = pairs.select("first", "second", F.explode(F.array(
+            F.struct(F.col("first").alias("term_id"), F.lit(True).alias("anchor")),
+            F.struct(F.col("second").alias("term_id"), F.lit(False).alias("anchor")),
+        )).alias("r")).select("first", "second", "r.*")
+        places = self.postings.join(small(roles, MOST_TERMS), "term_id").drop("term_id")
+        along = Window.partitionBy(DOC_KEY, "first", "second")
+        other = F.when(~F.col("anchor"), F.col("pos"))
+        before = F.max(other).over(along.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        behind = F.min(other).over(along.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
+        reach = [F.coalesce(F.col("pos") - F.col("before") <= slop, F.lit(False)),
+                 F.coalesce(F.col("behind") - F.col("pos") <= slop, F.lit(False))]
+        close = places.withColumns({"before": before, "behind": behind}).where(F.col("anchor") & (reach[0] | reach[1]))
+        close = stored(close.select(DOC_KEY, F.col("pos").alias("at"), "first", "second"), "near-pairs")
+
+        spots = close.select(DOC_KEY, "at").distinct()
+        left = small(close.select(DOC_KEY).distinct(), MOST_DOCUMENTS)
+        lists = self.postings.join(left, DOC_KEY, "left_semi")
+        around = spots.select(DOC_KEY, "at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)).alias("pos"))
+        met = around.join(lists, [DOC_KEY, "pos"]).groupBy(DOC_KEY, "at").agg(F.collect_set("term_id").alias("met"))
+        found = close.join(small(terms, MOST_TERMS), ["first", "second"]).join(met, [DOC_KEY, "at"])
+        whole = F.size(F.array_except("terms", "met")) == 0
+        return found.where(whole).select(DOC_KEY, F.col("at").alias("pos"), "window_id")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated and the row's key, for each row.
 
     A word is hit if it lies in an occurrence of a window of ``size`` words of an item; items
-    are the sorted ids of the items with such windows.
+    are the sorted ids of the items with such windows. With ``slop``, n_near is added: the number
+    of places around which, within ``slop`` words, all words of a window stand in any order.
     """
     if not 0 < size <= MOST_WINDOW:
         raise ValueError(f"a window has 1 to {MOST_WINDOW} words")
@@ -143,6 +160,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     found = stored(index.phrases(windows), "occurrences")
     places = found.select(DOC_KEY, F.explode(F.expr("sequence(start, start + n_terms - 1)")).alias("pos"))
     hit = places.distinct().groupBy(DOC_KEY).agg(F.count("*").alias("n_hit"))
+    near = None
+    if slop is not None:
+        near = index.proximity(windows, slop).select(DOC_KEY, "pos").distinct()
+        near = near.groupBy(DOC_KEY).agg(F.count("*").alias("n_near"))
     named = found.join(small(windows.select("window_id", "item"), MOST_TERMS), "window_id")
     listed = named.groupBy(DOC_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
     keyed = docs.select(
@@ -150,11 +171,15 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         F.size(words_of("text")).cast("bigint").alias("n_words"),
     )
     joined = keyed.join(hit.join(listed, DOC_KEY), DOC_KEY, "left")
+    more = []
+    if near is not None:
+        joined = joined.join(near, DOC_KEY, "left")
+        more = [F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near")]
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("bigint").alias("n_items"),
-        items_found.alias("items"), (n_hit > 0).alias("contaminated"), DOC_KEY,
+        items_found.alias("items"), (n_hit > 0).alias("contaminated"), DOC_KEY, *more,
     )
 
 

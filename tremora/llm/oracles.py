@@ -29,10 +29,30 @@ hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM occ, unnest(range(p, p +
 item AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id
+),
+tok AS (SELECT doc_id, p, w[p] AS term FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+seen AS (SELECT term, count(*) AS n FROM tok GROUP BY term),
+each AS (
+  SELECT g, g[i] AS term, min(i) AS i
+  FROM (SELECT DISTINCT g FROM win), unnest(range(1, len(g) + 1)) AS t(i) GROUP BY g, g[i]
+),
+term AS (SELECT each.g, each.term, each.i, seen.n FROM each LEFT JOIN seen ON seen.term = each.term),
+rare AS (
+  SELECT g, first(term ORDER BY n, i) AS rarest, count(*) AS total FROM term
+  GROUP BY g HAVING count(*) > 1 AND count(*) = count(n)
+),
+near AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_near FROM (
+    SELECT a.doc_id, a.p AS spot, rare.g
+    FROM rare JOIN tok AS a ON a.term = rarest JOIN term ON term.g = rare.g
+      JOIN tok AS k ON k.doc_id = a.doc_id AND k.term = term.term AND abs(k.p - a.p) <= 20
+    GROUP BY a.doc_id, a.p, rare.g, total HAVING count(DISTINCT k.term) = total
+  ) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
-  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 LINE_DEDUP = r"""

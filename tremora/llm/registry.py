@@ -13,6 +13,7 @@ from tremora.llm.common import joined_spans
 from tremora.llm.oracles import oracles as oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
+SLOP = 20  # words around a rarest term, for proximity matches
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def tokenizer_path() -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    tables = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    found = decontaminate.contamination(*tables, slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -35,6 +37,7 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
     )
 
 
