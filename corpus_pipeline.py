@@ -2,6 +2,14 @@
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and
 read again as the next stage's docs.
+
+Defined cases. Null and empty texts: scored like any text; a document without a line left goes at the
+second stage only if lines of it were cut; one without words is in no near-duplicate group, is never
+contaminated and encodes to no ids. Rows without doc_id stay unless a stage rejects them; of a group
+of near duplicates one row stays, rows equal in id and text being one; ties go to the smallest id, then
+to the smallest text by hash. Long texts pass every stage whole. An empty table, or one without labels,
+gives an empty result or an untrained classifier that keeps everything scoring 0.5. Further columns, of
+any name, are carried to the last stage, which returns its own columns.
 """
 
 from __future__ import annotations
