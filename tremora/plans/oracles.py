@@ -472,6 +472,7 @@ def oracles() -> dict[str, str]:
     found["stream_payload_roundtrip"] = found["payload_roundtrip"]
     found["stream_payload_quarantine"] = found["payload_quarantine"]
     found["stream_compacted_windows"] = window_sql
+    found["stream_rolled_csv"] = agg + f"SELECT {AGG_COLUMNS.replace(', total_count', '')} FROM agg"
     found["stream_dedup_stats"] = found["dedup_stats"]
     found["stream_queues"] = base + "SELECT * FROM readings"
     found["neighbourhood_agg_wide"] = found["neighbourhood_agg"].replace("<= 1", "<= 10")

@@ -7,10 +7,12 @@ forced, so that path is compared with the same SQL.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremora.operators import dedup, history, quality, ranking, scaling, spatial
 from tremora.operators.chunks import calendar_pieces, plan_pieces
@@ -18,6 +20,7 @@ from tremora.operators.windows import DAY_MS, window_agg
 from tremora.plans import jobs
 from tremora.schemas import AGGREGATE, PAYLOAD, READING
 from tremora.session import shared_folder, stored
+from tremora.sinks import rolling
 from tremora.sinks.text import agg_to_csv, format_agg
 from tremora.sources import events, metrics, payloads, segments
 from tremora.sinks.streams import to_csv_files
@@ -450,6 +453,29 @@ def stream_dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(dedup.merged_stats(current), "skip_percent")
 
 
+def stream_rolled_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregates to CSV files that roll by size and idle time, read back."""
+    folder = shared_folder(spark, "stream-rolled").removeprefix("file://")
+    arrivals = _arrivals(spark, sf, flush=True)
+    wanted = spark.read.schema(READING).parquet(arrivals).count()
+    valid = quality.filter_valid(read_stream(spark, arrivals, FILES_PER_SLICE))
+    lines = agg_to_csv(window_agg_stream(valid, "1 day", "1 hour"))
+    files = rolling.rolled(runner.observe_stage(lines, "lines"), "csv", slots=3, max_bytes=8_000, idle_ms=1_000)
+    with runner.stream_settings(spark):
+        query = rolling.write_rolled(files, f"{folder}/out", f"{folder}/state", "2 seconds")
+    schema = T.StructType(AGGREGATE.fields[:9])
+    for _ in range(150):  # until all is read, the watermark has moved, and the last files have rolled
+        time.sleep(1)
+        batches = query.recentProgress
+        counts = [p.observedMetrics["lines"]["records"] for p in batches if "lines" in p.observedMetrics]
+        read = sum(p.numInputRows for p in batches) >= wanted
+        if read and sum(counts) and not any(p.numInputRows for p in batches[-3:]) and not any(counts[-3:]):
+            if spark.read.schema(schema).csv(f"{folder}/out").count() == sum(counts):
+                break
+    query.stop()
+    return rounded(spark.read.schema(schema).csv(f"{folder}/out"), "avg_amplitude")
+
+
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Records that passed each stage of a stream, from the progress of its micro-batches."""
     folder = shared_folder(spark, "stream-progress")
@@ -618,6 +644,7 @@ def registered() -> dict[str, Query]:
         "stream_queues": stream_queues,
         "stream_compacted_windows": stream_compacted_windows,
         "stream_progress": stream_progress,
+        "stream_rolled_csv": stream_rolled_csv,
         "stream_dedup_stats": stream_dedup_stats,
         "neighbourhood_agg_wide": lambda s, d: _grid_output(spatial.neighbourhood_agg(_grids(s, d), 10)),
     }
