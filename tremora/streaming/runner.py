@@ -114,7 +114,10 @@ def throughput(query: StreamingQuery) -> dict[str, float]:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark and were left out, in the batches still on record."""
+    """Rows that came behind the watermark and were left out, in the batches still on record.
+
+    The query keeps the last ones only; progress.ProgressLog keeps all.
+    """
     return sum(
         state.numRowsDroppedByWatermark
         for progress in query.recentProgress
