@@ -79,3 +79,24 @@ def test_lost_segments_are_an_error(tmp_path):
     assert reader.latestOffset() == {"a": 52} and reader.partitions({"a": 50}, {"a": 52})
     with pytest.raises(ValueError, match="no longer there"):
         reader.partitions({}, {"a": 52})
+
+
+def test_parts_of_a_large_batch(spark, tmp_path, monkeypatch):
+    """The number of tasks and files follows the cores and not the bytes."""
+    lines = [f"{q}{i}" + "é" * (i % 9) for q in "ab" for i in range(600)]
+    for q in "ab":
+        (tmp_path / "logs" / f"queue={q}").mkdir(parents=True)
+        text = "".join(line + "\n" for line in lines if line[0] == q)
+        (tmp_path / "logs" / f"queue={q}" / f"{0:020}.log").write_text(text)
+    reader = segments.SegmentReader(f"{tmp_path}/logs", 100, 6)
+    end = reader.latestOffset()
+    made = reader.partitions({}, end)
+    assert 6 <= len(made) <= 8
+    assert [(p.lo, p.hi) for p in reader.partitions({"a": end["a"], "b": end["b"] - 250}, end)] == [
+        (end["b"] - 250 + at, min(end["b"], end["b"] - 150 + at)) for at in (0, 100, 200)
+    ]
+    assert sorted(v for _, _, v in run(spark, tmp_path, 100)) == sorted(lines)
+    files = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".parquet"]
+    assert len(files) <= segments.PARTS_PER_CORE * spark.sparkContext.defaultParallelism + 2
+    monkeypatch.setattr(segments, "SPLIT_BYTES", 300)  # of a huge batch, no part is larger than this
+    assert max(p.hi - p.lo for p in reader.partitions({}, end)) == 300

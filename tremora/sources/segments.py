@@ -7,9 +7,10 @@ has no end yet is no record.
 
 The stream's offset is a map from queue to the position up to which it has been read, kept in the
 query's checkpoint: a restart goes on at that byte, in the middle of a segment too. A micro-batch is
-cut into parts of SPLIT_BYTES at most, of all queues and segments, which are read in parallel; a part
-that begins inside a record leaves it to the part before. Queues that appear later are read from
-their beginning.
+cut into parts, of all queues and segments, which are read in parallel; a part that begins inside a
+record leaves it to the part before. A part is a task and a file of the sink, so a large batch is cut
+into larger parts: PARTS_PER_CORE for each core if that makes them larger than ``split_bytes``, yet
+of SPLIT_BYTES at most. Queues that appear later are read from their beginning.
 
 Files are read by Arrow, so the path is a local or mounted one or a store that Arrow knows. Register
 the source once per session: ``register(spark)``.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +39,7 @@ RECORD = T.StructType(
     ]
 )
 SPLIT_BYTES = 64 << 20
+PARTS_PER_CORE = 3
 BATCH_BYTES = 1 << 20
 FOLDER, SUFFIX = "queue=", ".log"
 
@@ -81,8 +85,8 @@ class Part(InputPartition):
 
 
 class SegmentReader(DataSourceStreamReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, parts: int | None = None):
+        self.path, self.split_bytes, self.parts = path, split_bytes, parts
 
     def initialOffset(self) -> dict:
         return {}
@@ -95,9 +99,16 @@ class SegmentReader(DataSourceStreamReader):
             ends[queue] = base + end_of_records(files, file, size)
         return ends
 
+    def part_bytes(self, total: int) -> int:
+        """Size of the parts of a batch of ``total`` bytes."""
+        if not self.parts:
+            return self.split_bytes
+        return max(self.split_bytes, min(-(-total // self.parts), SPLIT_BYTES))
+
     def partitions(self, start: dict, end: dict) -> list[Part]:
         made = []
         known = segments(self.path)
+        size_of_part = self.part_bytes(sum(max(0, stop - start.get(queue, 0)) for queue, stop in end.items()))
         for queue, stop in sorted(end.items()):
             begin = start.get(queue, 0)
             parts = known.get(queue, [])
@@ -105,8 +116,8 @@ class SegmentReader(DataSourceStreamReader):
                 raise ValueError(f"queue {queue}: the log from {begin} to {stop} is no longer there")
             for base, size, file in parts:
                 lo, hi = max(begin, base), min(stop, base + size)
-                for at in range(lo, hi, self.split_bytes):
-                    to = min(at + self.split_bytes, hi)
+                for at in range(lo, hi, size_of_part):
+                    to = min(at + size_of_part, hi)
                     made.append(Part(queue, base, file, at - base, to - base, at > lo))
         return made
 
@@ -168,7 +179,8 @@ class SegmentSource(DataSource):
         return RECORD
 
     def streamReader(self, schema: T.StructType) -> SegmentReader:
-        return SegmentReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)))
+        parts = int(self.options.get("parts", 0))
+        return SegmentReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)), parts)
 
 
 def register(spark: SparkSession) -> None:
@@ -176,9 +188,13 @@ def register(spark: SparkSession) -> None:
 
 
 def read_segments_stream(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """queue, position and value of every record, as a stream."""
+    """queue, position and value of every record, as a stream.
+
+    Parts are not cut smaller than ``split_bytes``.
+    """
     register(spark)
-    return spark.readStream.format(FORMAT).option("splitbytes", split_bytes).load(path)
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    return spark.readStream.format(FORMAT).option("splitbytes", split_bytes).option("parts", parts).load(path)
 
 
 def append_segments(rows: DataFrame, path: str, order: str) -> None:
@@ -193,15 +209,17 @@ def append_segments(rows: DataFrame, path: str, order: str) -> None:
         files, root = _open(path)
         current, out, counts = None, None, {}
         for batch in batches:
-            for queue, value in zip(batch.column("queue").to_pylist(), batch.column("value").to_pylist()):
+            rows = zip(batch.column("queue").to_pylist(), batch.column("value").to_pylist())
+            for queue, run in groupby(rows, itemgetter(0)):
                 if queue != current:
                     if out:
                         out.close()
                     files.create_dir(f"{root}/{FOLDER}{queue}", recursive=True)
                     out = files.open_output_stream(f"{root}/{FOLDER}{queue}/{ends.get(queue, 0):020}{SUFFIX}")
                     current = queue
-                out.write(value.encode() + b"\n")
-                counts[queue] = counts.get(queue, 0) + 1
+                lines = [value for _, value in run]
+                out.write("\n".join([*lines, ""]).encode())  # the stream has no buffer of its own
+                counts[queue] = counts.get(queue, 0) + len(lines)
         if out:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["queue", "n"])
