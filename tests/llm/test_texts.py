@@ -283,3 +283,35 @@ def test_decoding_of_broken_bytes_and_lexicon(spark):
         assert lexicon.ids[lexicon.starts[n] : lexicon.starts[n + 1]].tolist() == merger.merge(word)
     longer = [bytes(random.Random(i).choices(b" etaoin\xc3\xa9'0", k=i % 60 + 1)) for i in range(500)]
     assert merger.merge_all(longer) == [merger.merge(w) for w in longer]
+
+
+def test_pieces_of_a_blob_are_merged_as_single_words(monkeypatch):
+    """Words are merged where they lie; no word is taken out of the blob as a Python object."""
+    import numpy as np
+
+    merger = bpe.Merger(bpe.Vocabulary(tokenizer_path()))
+    random_ = random.Random(4)
+    words = [bytes(random_.choices(b" etaoinshr\xc3\xa9'0", k=random_.choice([0, 1, 2, 3, 7, 20, 48]))) for _ in range(3000)]
+    words += [b"", b"a", b"aaaaaaa", bytes(range(256))[:48]]
+    expected = [merger.merge(w) for w in words] + [merger.merge(b"ea" * 40)]
+    words.append(b"ea" * 40)
+    lengths = np.array([len(w) for w in words])
+    blob = np.frombuffer(b"?".join(words), np.uint8)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    single = []
+    merge = merger.merge
+    monkeypatch.setattr(merger, "merge", lambda w: single.append(w) or merge(w))
+    ids, firsts, sizes = merger.merge_pieces(blob, starts, lengths, chunk=100)
+    assert [ids[at : at + n].tolist() for at, n in zip(firsts, sizes)] == expected
+    assert single == [b"ea" * 40]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in merger.merge_pieces(blob, none, none)] == [0, 0, 0]
+
+
+def test_decoding_of_many_rows(spark):
+    vocabulary = bpe.Vocabulary(tokenizer_path())
+    lead, tail = (vocabulary.byte_ids[b].to_bytes(4, "little") for b in (0xC3, 0xA9))
+    rows = [(0, lead), (1, tail), (2, b""), (3, None), (4, lead + tail), (5, (lead + tail) * 300_000), (6, lead)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens binary").coalesce(1)
+    found = {r.doc_id: r.decoded for r in bpe.decode(df, vocabulary).collect()}
+    assert found == {0: "\ufffd", 1: "\ufffd", 2: "", 3: "", 4: "é", 5: "é" * 300_000, 6: "\ufffd"}

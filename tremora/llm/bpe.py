@@ -32,7 +32,7 @@ from tremora.session import shared_folder, stored
 #: How the byte-level vocabulary splits text before merging, and its white space.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPLIT = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
 
@@ -66,7 +66,8 @@ PART = 2 << 20  # bytes of text that are encoded together
 SIDE_BY_SIDE = 48  # bytes of the longest word that is merged in a matrix
 LEXICON_BYTES = 64  # longer words are merged where they occur: a look-up takes a step per byte
 BASE = 1 << 31
-NO_PAIR = 1 << 40
+NO_PAIR = (1 << 31) - 1
+SPREAD = 0x9E3779B97F4A7C15 - (1 << 64)  # of pairs over the slots of their table
 
 
 class Vocabulary:
@@ -96,10 +97,29 @@ class Merger:
     def __init__(self, vocabulary: Vocabulary):
         self.byte_ids = vocabulary.byte_ids
         self.pairs = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(vocabulary.merges)}
-        keys = np.array([a * BASE + b for a, b, _ in vocabulary.merges], np.int64)
-        self.ranks = np.argsort(keys)  # a merge's rank is its place in the list
-        self.keys = keys[self.ranks]
-        self.results = np.array([c for _, _, c in vocabulary.merges], np.int64)
+        self.results = np.array([c for _, _, c in vocabulary.merges], np.int32)
+        self._place(np.array([(a, b) for a, b in self.pairs], np.int64).reshape(-1, 2))
+        every = np.asarray(self.byte_ids, np.int32)
+        self.byte_pairs = self._ranks(np.repeat(every, 256), np.tile(every, 256))
+
+    def _place(self, pairs: np.ndarray) -> None:
+        """A table of the pairs' ranks: a pair stands at its hash or in the next free slot."""
+        keys = pairs[:, 0] * BASE + pairs[:, 1]
+        ranks = np.array([rank for rank, _ in self.pairs.values()], np.int32)
+        self.mask = (4 << max(len(keys), 1).bit_length()) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.ranks = np.full(self.mask + 1, NO_PAIR, np.int32)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            self.keys[taken], self.ranks[taken] = keys[left[free[first]]], ranks[left[free[first]]]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, slots = left[rest], slots[rest] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * SPREAD >> 20) & self.mask
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of the lowest rank, leftmost first, until none is left.
@@ -128,56 +148,86 @@ class Merger:
                     heapq.heappush(heap, (found[0], a, ids[a], ids[b], found[1]))
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many words."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        ids, starts, sizes = self.merge_pieces(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        return [ids[at : at + n].tolist() for at, n in zip(starts, sizes)]
 
-    def merge_all(self, words: list[bytes], chunk: int = 8192) -> list[list[int]]:
-        """Ids of many words. Short ones are merged side by side, a pair in each at a time."""
-        made: list = [None] * len(words)
-        short = sorted((len(w), i) for i, w in enumerate(words) if 1 < len(w) <= SIDE_BY_SIDE)
-        for at in range(0, len(short), chunk):
-            rows = [i for _, i in short[at : at + chunk]]
-            for i, ids in zip(rows, self._side_by_side([words[i] for i in rows])):
-                made[i] = ids
-        return [self.merge(w) if m is None else m for w, m in zip(words, made)]
-
-    def _side_by_side(self, words: list[bytes]) -> list[list[int]]:
-        width = max(map(len, words))
-        size = np.array([len(w) for w in words])
-        padded = b"".join(w.ljust(width, b"\0") for w in words)
-        ids = np.asarray(self.byte_ids, np.int64)[np.frombuffer(padded, np.uint8)]
-        ids = ids.reshape(len(words), width)
-        ids[np.arange(width) >= size[:, None]] = -1
-        rank = self._ranks(ids[:, :-1], ids[:, 1:])
-        made: list = [None] * len(words)
-        rows, columns = np.arange(len(words)), np.arange(width)
-        while len(rows):
-            best = rank.argmin(axis=1)
-            lowest = rank[np.arange(len(rows)), best]
-            done = lowest == NO_PAIR
-            for i, found in zip(rows[done], ids[done].tolist()):
-                made[i] = [x for x in found if x >= 0]
-            rows, ids, rank, best, lowest = (x[~done] for x in (rows, ids, rank, best, lowest))
-            each = np.arange(len(rows))
-            ids[each, best] = self.results[lowest]
-            # Close the gap behind the merged pair, then rank the two pairs around it anew.
-            take = np.minimum(columns + (columns > best[:, None]), width - 1)
-            ids = np.take_along_axis(ids, take, axis=1)
-            ids[:, -1] = -1
-            rank = np.take_along_axis(rank, np.minimum(take[:, :-1], width - 2), axis=1)
-            rank[:, -1] = NO_PAIR
-            right = np.minimum(best + 1, width - 1)
-            rank_right = self._ranks(ids[each, best], np.where(best + 1 < width, ids[each, right], -1))
-            inner = best < width - 1
-            rank[each[inner], best[inner]] = rank_right[inner]
-            left = best > 0
-            rank[each[left], best[left] - 1] = self._ranks(
-                ids[each[left], best[left] - 1], ids[each[left], best[left]]
-            )
-        return made
+    def merge_pieces(
+        self, blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chunk: int = 8192
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many words (bytes ``starts`` .. of ``blob``), with each word's first and number.
+
+        Short words are merged side by side, one pair in each at a time.
+        """
+        order = np.argsort(lengths, kind="stable")  # words of like lengths go together
+        short = int(np.searchsorted(lengths[order], SIDE_BY_SIDE, side="right"))
+        made, sizes = [np.zeros(0, np.int32)], np.zeros(len(order), np.int64)
+        for at in range(0, short, chunk):
+            rows = order[at : min(at + chunk, short)]
+            ids, sizes[rows] = self._side_by_side(blob, starts[rows], lengths[rows])
+            made.append(ids)
+        for row in order[short:]:
+            ids = self.merge(blob[starts[row] : starts[row] + lengths[row]].tobytes())
+            made.append(np.array(ids, np.int32))
+            sizes[row] = len(ids)
+        firsts = np.zeros(len(order), np.int64)
+        firsts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(made), firsts, sizes
+
+    def _side_by_side(self, blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one word after the other, and each word's number of ids.
+
+        A row of the matrices is a word, linked in both directions; the last column is the end of
+        both. ``rank`` is that of a symbol and the one after it.
+        """
+        width = int(lengths.max()) if len(lengths) else 0
+        if not width:
+            return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
+        columns = np.arange(width)
+        inside = columns < lengths[:, None]
+        data = blob[np.where(inside, starts[:, None] + columns, 0)]
+        shape = (len(lengths), width + 1)
+        ids = np.full(shape, -1, np.int32)
+        ids[:, :-1] = np.where(inside, np.asarray(self.byte_ids, np.int32)[data], -1)
+        rank = np.full(shape, NO_PAIR, np.int32)
+        pairs = self.byte_pairs[data[:, :-1].astype(np.int64) * 256 + data[:, 1:]]
+        rank[:, : width - 1] = np.where(inside[:, 1:], pairs, NO_PAIR)
+        after, before = np.empty(shape, np.int16), np.empty(shape, np.int16)
+        after[:] = np.minimum(np.arange(1, width + 2), width)
+        before[:] = np.concatenate([[width], np.arange(width)])
+        ids_, rank_, after_, before_ = (x.reshape(-1) for x in (ids, rank, after, before))
+        live = np.arange(len(lengths))
+        while len(live):
+            row = live * (width + 1)
+            best = (rank if len(live) == len(rank) else rank[live]).argmin(axis=1)
+            at = row + best
+            lowest = rank_[at]
+            go = lowest < NO_PAIR
+            live, row, at, lowest = live[go], row[go], at[go], lowest[go]
+            gone = row + after_[at]
+            right, left = row + after_[gone], row + before_[at]
+            ids_[at], ids_[gone], rank_[gone] = self.results[lowest], -1, NO_PAIR
+            after_[at], before_[right] = after_[gone], at - row
+            rank_[at] = self._ranks(ids_[at], ids_[right])
+            rank_[left] = self._ranks(ids_[left], ids_[at])
+        kept = ids >= 0
+        return ids[kept], kept.sum(axis=1)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * BASE + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NO_PAIR)
+        """Rank of each pair; -1 stands for no symbol, and no pair in the table has one."""
+        key = left.astype(np.int64) * BASE + right
+        slot = self._slots(key)
+        found = self.keys[slot]
+        rank = np.where(found == key, self.ranks[slot], NO_PAIR)
+        other = np.flatnonzero((found != key) & (found >= 0))
+        while len(other):
+            slot[other] = slot[other] + 1 & self.mask
+            found = self.keys[slot[other]]
+            rank[other] = np.where(found == key[other], self.ranks[slot[other]], NO_PAIR)
+            other = other[(found != key[other]) & (found >= 0)]
+        return rank
 
 
 # --- lexicon --------------------------------------------------------------------------
@@ -342,11 +392,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.lexicon, self.merger = lexicon, Merger(vocabulary)
         self.special = {s.encode(): i for s, i in vocabulary.special.items()}
-
-    def unseen(self, words: list[bytes]) -> list[list[int]]:
-        known = [self.special.get(w) for w in words]
-        rest = iter(self.merger.merge_all([w for w, i in zip(words, known) if i is None]))
-        return [next(rest) if i is None else [i] for i in known]
+        self.ids = np.asarray(lexicon.ids, np.int32)
 
     def encode(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's number of ids.
@@ -355,31 +401,39 @@ class Encoder:
         """
         flat_words = words.flatten().cast(pa.large_string())
         coded = flat_words.dictionary_encode()
-        use = coded.indices.to_numpy(zero_copy_only=False)
         distinct = coded.dictionary
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
         data = distinct.buffers()[2]
         blob = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         starts, lengths = offsets[:-1], np.diff(offsets)
         number = self.lexicon.numbers(blob, starts, lengths)
-        miss = np.flatnonzero(number < 0)
-        merged = self.unseen([blob[starts[i] : starts[i] + lengths[i]].tobytes() for i in miss])
-        own = np.asarray(self.lexicon.ids, np.int64)
         known = np.maximum(number, 0)
-        if len(own):
-            at = self.lexicon.starts[known].astype(np.int64)
-            size = self.lexicon.starts[known + 1] - at
-        else:
-            at, size = known, np.zeros(len(known), np.int64)
-        sizes = np.array([len(m) for m in merged], np.int64)
-        at[miss] = len(own) + np.cumsum(sizes) - sizes
-        size[miss] = sizes
-        ids = np.concatenate([own, np.array([i for m in merged for i in m], np.int64)])
-        flat = ids[_ragged(at[use], size[use])].astype("<u4")
-        totals = np.concatenate([[0], np.cumsum(size[use])])
+        at, size = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        if len(self.ids):
+            at += self.lexicon.starts[known]
+            size += self.lexicon.starts[known + 1] - at
+        miss = np.flatnonzero(number < 0)
+        merged, at[miss], size[miss] = self.merger.merge_pieces(blob, starts[miss], lengths[miss])
+        at[miss] += len(self.ids)
+        special = [(distinct.index(s.decode()).as_py(), i) for s, i in self.special.items()]
+        special = [(word, i) for word, i in special if word >= 0]
+        for k, (word, _) in enumerate(special):
+            at[word], size[word] = len(self.ids) + len(merged) + k, 1
+        ids = np.concatenate([self.ids, merged, np.array([i for _, i in special], np.int32)])
+        own = ids[_ragged(at, size)].astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(size * 4)])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+        dealt, totals = _joined(pieces.take(coded.indices))
         counts = np.diff(words.offsets.to_numpy())
         ends = np.cumsum([0, *counts])
-        return flat, totals[ends[1:]] - totals[ends[:-1]]
+        return np.frombuffer(dealt, "<u4"), (totals[ends[1:]] - totals[ends[:-1]]) // 4
+
+
+def _joined(pieces: pa.LargeBinaryArray) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of all pieces, one after the other, and the positions at which they begin and end."""
+    _, offsets, data = pieces.buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    return (data or pa.py_buffer(b"")).slice(0, int(ends[-1])), ends
 
 
 def _encoding(vocabulary: Vocabulary, lexicon: str):
@@ -398,20 +452,20 @@ def _encoding(vocabulary: Vocabulary, lexicon: str):
 
 
 def _decoding(vocabulary: Vocabulary):
-    """A function from packed ids to text."""
-    lengths = np.array([len(t) for t in vocabulary.tokens], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    blob = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
+    """A function from an array of packed ids to texts."""
+    tokens = pa.array(vocabulary.tokens, pa.large_binary())
 
-    def text_of(packed: bytes | None) -> str:
-        ids = np.frombuffer(packed or b"", "<u4")
-        parts = [
-            blob[_ragged(starts[i], lengths[i])].tobytes()
-            for i in np.array_split(ids, len(ids) // 200_000 + 1)
-        ]
-        return b"".join(parts).decode("utf-8", errors="replace")
+    def texts_of(packed: pa.Array) -> list[str]:
+        made = []
+        for lo, hi in text_batches(packed, PART):
+            parts = [p or b"" for p in packed.slice(lo, hi - lo).to_pylist()]
+            data, ends = _joined(tokens.take(pa.array(np.frombuffer(b"".join(parts), "<u4"))))
+            ends = ends[np.cumsum([0, *[len(p) // 4 for p in parts]])].tolist()
+            data = data.to_pybytes()
+            made += [data[i:j].decode("utf-8", errors="replace") for i, j in zip(ends, ends[1:])]
+        return made
 
-    return text_of
+    return texts_of
 
 
 def encode(
@@ -443,10 +497,10 @@ def decode(
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():
-        text_of = _decoding(shared.value)
+        texts_of = _decoding(shared.value)
 
         def work(batch: pa.RecordBatch):
-            return {output: pa.array([text_of(v.as_py()) for v in batch.column(tokens)], pa.string())}
+            return {output: pa.array(texts_of(batch.column(tokens)), pa.string())}
 
         return work
 
@@ -461,14 +515,11 @@ def encode_and_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():
-        pack, text_of = _encoding(shared.value, lexicon), _decoding(shared.value)
+        pack, texts_of = _encoding(shared.value, lexicon), _decoding(shared.value)
 
         def work(batch: pa.RecordBatch):
-            packed = pack(batch.column(text), batch.column(WORDS))
-            return {
-                "tokens": pa.array(packed, pa.binary()),
-                "decoded": pa.array([text_of(p) for p in packed], pa.string()),
-            }
+            packed = pa.array(pack(batch.column(text), batch.column(WORDS)), pa.binary())
+            return {"tokens": packed, "decoded": pa.array(texts_of(packed), pa.string())}
 
         return work
 
