@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -166,6 +168,32 @@ def test_proximity_column(spark, slop):
     assert {r.doc_id: r.n_near for r in found} == near_by_definition(rows, items, 4, slop)
 
 
+def broadcast(plan):
+    """The lines of a plan that stand below its broadcasts."""
+    lines = [(re.search(r"\w", x).start(), x) for x in plan.splitlines() if re.search(r"\w", x)]
+    below = []
+    for n, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below += [x for _, x in itertools.takewhile(lambda x, top=depth: x[0] > top, lines[n + 1 :])]
+    return below
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    frames, stored = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, purpose: frames.append(df) or stored(df, purpose))
+    random_ = random.Random(3)
+    rows = [(i, " ".join(random_.choices("abcdefgh", k=40))) for i in range(50)]
+    docs = spark.createDataFrame(rows, TEXT)
+    windows = decontaminate.windows_of(spark.createDataFrame([(1, "a b c d"), (2, "e a")], "item_id long, text string"), 3)
+    index = decontaminate.PositionalIndex.build(docs, windows)
+    frames.clear()
+    frames += [index.phrases(windows), index.proximity(windows, 20)]
+    assert frames[-1].count() > 0
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in frames]
+    assert sum("Generate" in p for p in plans) >= 3 and any(broadcast(p) for p in plans)
+    assert not [x for p in plans for x in broadcast(p) if "Generate" in x and ("sequence" in x or "posexplode" in x)]
+
+
 @pytest.mark.parametrize("seed,min_words", [(1, 1), (2, 3), (3, 4), (4, 6), (5, 9)])
 def test_line_dedup(spark, seed, min_words):
     random_ = random.Random(seed)

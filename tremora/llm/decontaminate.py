@@ -7,7 +7,8 @@ the lists of its two rarest terms, then, only in documents that survive, the lis
 Proximity matches, where a window's words stand close together in any order, are found the same way.
 
 Everything is DataFrame operations. The tables made from test texts are broadcast only if a
-count proves them small; otherwise Spark shuffles.
+count proves them small; otherwise Spark shuffles. Spark's estimate does not see how many rows an
+explode makes, so the words around places and the windows' words are not left to its choice.
 
 Defined cases: a null text has no words; an item without words is never found; repeated items
 with one id count once and an item without an id counts as the empty id; repeated rows have the
@@ -70,7 +71,7 @@ class PositionalIndex:
     def _terms_of(self, windows: DataFrame) -> DataFrame:
         """A row for each word of each window that has no term without occurrences."""
         each = windows.select("window_id", F.size("words").alias("n_terms"), F.posexplode("words"))
-        each = each.withColumnsRenamed({"pos": "offset", "col": "term"}).join(self.terms, "term")
+        each = each.withColumnsRenamed({"pos": "offset", "col": "term"}).join(small(self.terms, MOST_TERMS), "term")
         rank = Window.partitionBy("window_id").orderBy("n", "offset")
         least = F.min("n").over(Window.partitionBy("window_id"))
         ranked = each.withColumn("rank", F.row_number().over(rank)).withColumn("least", least)
@@ -140,7 +141,9 @@ class PositionalIndex:
         left = small(close.select(DOC_KEY).distinct(), MOST_DOCUMENTS)
         lists = self.postings.join(left, DOC_KEY, "left_semi")
         around = spots.select(DOC_KEY, "at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)).alias("pos"))
-        met = around.join(lists, [DOC_KEY, "pos"]).groupBy(DOC_KEY, "at").agg(F.collect_set("term_id").alias("met"))
+        # Spark takes the exploded rows for as few as the spots, and would broadcast them.
+        met = around.hint("merge").join(lists, [DOC_KEY, "pos"])
+        met = met.groupBy(DOC_KEY, "at").agg(F.collect_set("term_id").alias("met"))
         found = close.join(small(terms, MOST_TERMS), ["first", "second"]).join(met, [DOC_KEY, "at"])
         whole = F.size(F.array_except("terms", "met")) == 0
         return found.where(whole).select(DOC_KEY, F.col("at").alias("pos"), "window_id")
